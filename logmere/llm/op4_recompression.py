@@ -56,7 +56,7 @@ def compress(level: Level, turn: int, begin: np.ndarray, end: np.ndarray) -> Lev
     name = np.where(count > 1, mix(name * RUN + count.astype(np.uint64)), name)
     level = Level(name, level.doc[first], lo, hi)
     n = len(name)
-    kind = (mix(name ^ (OTHER * np.uint64(turn + 1))) & np.uint64(1)).astype(bool)
+    kind = (mix(name ^ np.uint64(int(OTHER) * (turn + 1) % 2**64)) & np.uint64(1)).astype(bool)
     left = np.zeros(n, bool)
     left[:-1] = ~kind[:-1] & kind[1:] & (level.doc[1:] == level.doc[:-1])
     right = np.append(False, left[:-1])
