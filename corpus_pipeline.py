@@ -33,7 +33,7 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove repeated 20-word windows; texts without a removed word keep their bytes, a document that lost all its words goes."""
-    out = op4_recompression.substring_dedup(docs)
+    out = op4_recompression.substring_dedup(docs, keep_text=True)
     text = F.when(F.col("__n_removed") > 0, F.col("__kept")).otherwise(F.col("text"))
     kept = out.where("__n_removed = 0 OR __n_removed < __n_words").withColumn("text", text)
     return kept.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)

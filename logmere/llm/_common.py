@@ -41,14 +41,27 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def ids_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(__id, __text, __rest): a non-null long id, non-null text, and every column of docs as one struct."""
+    """(__id, __text, __rest): a non-null long id, non-null text, and as one struct all other columns and whether the text is null."""
     return docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("__id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__rest"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(f"`{text_col}`").isNull().alias("__null")).alias("__rest"),
     )
 
 
+def unpacked(columns: list[str], text_col: str) -> list:
+    """The columns of docs again, from __text and __rest."""
+    return [F.when(~F.col("__rest.__null"), F.col("__text")).alias(c) if c == text_col else F.col(f"__rest.`{c}`").alias(c) for c in columns]
+
+
+def bucket_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of n partitions, an int that repartition(n, key) deals to it; so n buckets fill n partitions evenly."""
+    rows = spark.range(40 * n + 100).select(F.col("id").cast("int").alias("k")).select("k", F.pmod(F.hash("k"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("k").alias("k")).collect()
+    if len(rows) < n:
+        raise RuntimeError("some partition has no key")
+    return np.array([r["k"] for r in sorted(rows)], np.int32)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: spreads every input bit over the word."""
     x = x.astype(np.uint64, copy=True)

@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, cut_by, mix, partitions
+from ._common import bucket_keys, chunks, cut_by, mix, partitions
 
-PACKED = "bucket int, ids binary, ords binary, keys binary"
+#: Keys travel as their upper 32 and next 16 bits; the bucket tells some more. A false match only costs a later exact test.
+PACKED = "bucket int, ids binary, ords binary, high binary, low binary"
 REPLY = "__id long, ords binary"
 #: Marks an occurrence that needs no reply.
 NOBODY = 2**63 - 1
@@ -45,7 +46,8 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[pa.Array], list[np.ndarray]]
     Returns (__id, ords): one row per id that has any repeated key, `ords` a list of packed int32 arrays with
     the places of those keys. Repeats inside one document count as repeats.
     """
-    n = partitions(docs.sparkSession) * 4
+    n = partitions(docs.sparkSession)
+    deal = bucket_keys(docs.sparkSession, n)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "__text"):
@@ -57,26 +59,27 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[pa.Array], list[np.ndarray]]
             keys = np.concatenate(each)
             order, first, size = repeated(keys)
             here = order[size > 1]
-            rows = [(int(i) % n, i, o, b"") for i, o in _reply(ids[here], ords[here])]
+            rows = [(int(i) % n, i, o, None, None) for i, o in _reply(ids[here], ords[here])]
             once = order[first]
             owner = np.where(size[first] > 1, NOBODY, ids[once])
             once, owner = once[s := np.argsort(once)], owner[s]
-            rows += [(k, i.tobytes(), o.tobytes(), x.tobytes()) for k, i, o, x in cut_by((mix(keys[once]) >> np.uint64(20)).astype(np.int64) % n, n, owner, ords[once], keys[once])]
+            rows += [(k, i.tobytes(), o.tobytes(), (x >> np.uint64(32)).astype(np.uint32).tobytes(), (x >> np.uint64(16)).astype(np.uint16).tobytes()) for k, i, o, x in cut_by((mix(keys[once]) >> np.uint64(20)).astype(np.int64) % n, n, owner, ords[once], keys[once])]
             yield pa.RecordBatch.from_arrays([
-                pa.array([r[0] for r in rows], pa.int32()),
+                pa.array(deal[[r[0] for r in rows]], pa.int32()),
                 pa.array([r[1] if isinstance(r[1], bytes) else int(r[1]).to_bytes(8, "little", signed=True) for r in rows], pa.binary()),
                 pa.array([r[2] for r in rows], pa.binary()),
                 pa.array([r[3] for r in rows], pa.binary()),
-            ], names=["bucket", "ids", "ords", "keys"])
+                pa.array([r[4] for r in rows], pa.binary()),
+            ], names=["bucket", "ids", "ords", "high", "low"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, ords, keys, known = [], [], [], []
         for b in batches:
-            for i, o, k in zip(*[b.column(c).to_pylist() for c in ("ids", "ords", "keys")], strict=True):
-                if k:
+            for i, o, h, k in zip(*[b.column(c).to_pylist() for c in ("ids", "ords", "high", "low")], strict=True):
+                if k is not None:
                     ids.append(np.frombuffer(i, np.int64))
                     ords.append(np.frombuffer(o, np.int32))
-                    keys.append(np.frombuffer(k, np.uint64))
+                    keys.append(np.frombuffer(h, np.uint32).astype(np.uint64) << np.uint64(16) | np.frombuffer(k, np.uint16))
                 else:
                     known.append((int.from_bytes(i, "little", signed=True), o))
         if keys:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, chunks, cut_by, ids_and_text, mix, partitions, windows_hash
+from ._common import Words, bucket_keys, chunks, cut_by, ids_and_text, mix, partitions, unpacked, windows_hash
 from ._shared import later_copies, shared_keys
 from .op3_suffix_dedup import MARKS, _concat, _marks
 
@@ -115,14 +115,15 @@ def later(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, starts: np.ndarray, t
     return order, (i != i[group]) | (s != s[group])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """All columns of docs, with __kept (string: kept words joined by a space), __n_words, __n_removed.
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS, keep_text: bool = False) -> DataFrame:
+    """All columns of docs (the text only with keep_text), with __kept (string: kept words joined by a space), __n_words, __n_removed.
 
     A null text has no words; a null id counts as the smallest. Documents with fewer words than a window stay
     whole. Rows that repeat an id are one document where their windows start at the same word. An empty table gives one.
     """
     spark = docs.sparkSession
     n = partitions(spark)
+    deal = bucket_keys(spark, n)
     table = ids_and_text(docs, id_col, text_col).withColumn("__tag", F.xxhash64("__text"))
     dealt = table.repartition(n, "__id")
 
@@ -170,10 +171,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 o = order[gone]
                 m = _marks(ids[o], tags[o], starts[o])
                 none = pa.array([None] * m.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(m.column(0).to_numpy() % (4 * n), pa.int32()), *[pa.array([int(x).to_bytes(8, "little", signed=True) for x in m.column(k).to_pylist()], pa.binary()) for k in (0, 1)], none, none, none, m.column(2)], names=NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(deal[m.column(0).to_numpy() % n], pa.int32()), *[pa.array([int(x).to_bytes(8, "little", signed=True) for x in m.column(k).to_pylist()], pa.binary()) for k in (0, 1)], none, none, none, m.column(2)], names=NAMES)
             o = np.sort(order[~gone])
-            rows = [(k, i.tobytes(), t.tobytes(), s.tobytes(), a.tobytes(), c.tobytes()) for k, i, t, s, a, c in cut_by((h1[o] >> np.uint64(20)).astype(np.int64) % (4 * n), 4 * n, ids[o], tags[o], starts[o].astype(np.int32), h1[o], h2[o])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 6)], pa.array([None] * len(rows), pa.binary())], names=NAMES)
+            rows = [(k, i.tobytes(), t.tobytes(), s.tobytes(), a.tobytes(), c.tobytes()) for k, i, t, s, a, c in cut_by((h1[o] >> np.uint64(20)).astype(np.int64) % n, n, ids[o], tags[o], starts[o].astype(np.int32), h1[o], h2[o])]
+            yield pa.RecordBatch.from_arrays([pa.array(deal[[r[0] for r in rows]], pa.int32()), *[pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 6)], pa.array([None] * len(rows), pa.binary())], names=NAMES)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
@@ -190,7 +191,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if len(o):
                 yield _marks(ids[o], tags[o], starts[o].astype(np.int64))
 
-    sent = asked.where(~is_copy).select("__id", "__tag", "__text", "ords").mapInArrow(candidates, SENT)
+    sent = asked.where(~is_copy).select("__id", "__text", "__rest", "__tag", "ords").mapInArrow(candidates, SENT)
     marks = sent.repartition(n, "bucket").mapInArrow(settle, MARKS).groupBy("__id").agg(F.collect_list(F.struct("__tag", "runs")).alias("__marks"))
     judged = dealt.join(marks, "__id", "left").join(copies, "__id", "left").select("__text", "__tag", "__rest", "__marks", is_copy.alias("__copy"))
 
@@ -209,11 +210,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     np.add.at(step, r[:, 0] + r[:, 1] + window - 1, -1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(step[:-1]) == 0)]
                 out.append((b" ".join(words).decode(), total, total - len(words)))
-            yield pa.RecordBatch.from_arrays([b.column("__rest"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())], names=["__rest", "__kept", "__n_words", "__n_removed"])
+            yield pa.RecordBatch.from_arrays([b.column("__rest"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()), *[b.column("__text")] * keep_text], names=["__rest", "__kept", "__n_words", "__n_removed", *["__text"] * keep_text])
 
+    # Both uses of the dealt texts take the same columns, so their shuffle is done once.
     rest = table.schema["__rest"].dataType.simpleString()
-    done = judged.mapInArrow(finish, f"__rest {rest}, __kept string, __n_words long, __n_removed long")
-    return done.select("__rest.*", "__kept", "__n_words", "__n_removed")
+    done = judged.mapInArrow(finish, f"__rest {rest}, __kept string, __n_words long, __n_removed long" + ", __text string" * keep_text)
+    return done.select(*unpacked([c for c in docs.columns if keep_text or c != text_col], text_col), "__kept", "__n_words", "__n_removed")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
