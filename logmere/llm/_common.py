@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,3 +168,14 @@ def cut_by(bucket: np.ndarray, n: int, *columns: np.ndarray) -> Iterator[tuple]:
     columns = [c[order] for c in columns]
     for b in np.flatnonzero(sizes):
         yield (int(b), *[c[ends[b] - sizes[b] : ends[b]] for c in columns])
+
+
+def press(x: np.ndarray | bytes) -> bytes:
+    """A compressed blob; shuffles store it as it is."""
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes() if isinstance(x, np.ndarray) else x)
+
+
+def opened(blobs: list[bytes], dtype: type) -> np.ndarray:
+    """The elements of pressed blobs, one after the other."""
+    reader = zstandard.ZstdDecompressor()
+    return np.frombuffer(b"".join([reader.decompress(b) for b in blobs]), dtype)

@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bucket_keys, chunks, cut_by, mix, partitions
+from ._common import bucket_keys, chunks, cut_by, mix, opened, partitions, press
 
 #: Keys travel as their upper 32 and next 16 bits; the bucket tells some more. A false match only costs a later exact test.
 PACKED = "bucket int, ids binary, ords binary, high binary, low binary"
-REPLY = "__id long, ords binary"
+NAMES = ["bucket", "ids", "ords", "high", "low"]
 #: Marks an occurrence that needs no reply.
 NOBODY = 2**63 - 1
 
@@ -33,18 +33,23 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, first, np.repeat(np.diff(np.append(at, len(k))), np.diff(np.append(at, len(k))))
 
 
-def _reply(ids: np.ndarray, ords: np.ndarray) -> list[tuple[int, bytes]]:
-    order = np.argsort(ids, kind="stable")
-    ids, ords = ids[order], ords[order]
-    at = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else []
-    return [(int(ids[a]), ords[a:b].tobytes()) for a, b in zip(at, np.append(at[1:], len(ids)), strict=True)] if len(ids) else []
+def blobs(deal: np.ndarray, rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """Rows of a bucket's number and blobs; the bucket becomes the key that repartition() deals there."""
+    return pa.RecordBatch.from_arrays([pa.array(deal[[r[0] for r in rows]], pa.int32()), *[pa.array([r[c] for r in rows], pa.binary()) for c in range(1, len(names))]], names=names)
+
+
+def _replies(ids: np.ndarray, ords: np.ndarray, n: int) -> list[tuple]:
+    """One row for each bucket of ids."""
+    order = np.lexsort((ords, ids))
+    return [(k, press(i), press(np.diff(o, prepend=np.int32(0))), None, None) for k, i, o in cut_by(ids[order] % n, n, ids[order], ords[order])]
 
 
 def shared_keys(docs: DataFrame, keys_of: Callable[[pa.Array], list[np.ndarray]]) -> DataFrame:
     """docs has __id and __text; keys_of gives one key array for each text of a column.
 
-    Returns (__id, ords): one row per id that has any repeated key, `ords` a list of packed int32 arrays with
-    the places of those keys. Repeats inside one document count as repeats.
+    Returns (__id, ords): one row per id that has any repeated key, `ords` a packed int32 array with the places of
+    those keys. Repeats inside one document count as repeats. Replies are dealt by id in blobs, so their number
+    does not grow with documents times buckets.
     """
     n = partitions(docs.sparkSession)
     deal = bucket_keys(docs.sparkSession, n)
@@ -59,41 +64,90 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[pa.Array], list[np.ndarray]]
             keys = np.concatenate(each)
             order, first, size = repeated(keys)
             here = order[size > 1]
-            rows = [(int(i) % n, i, o, None, None) for i, o in _reply(ids[here], ords[here])]
+            rows = _replies(ids[here], ords[here], n)
             once = order[first]
             owner = np.where(size[first] > 1, NOBODY, ids[once])
             once, owner = once[s := np.argsort(once)], owner[s]
-            rows += [(k, i.tobytes(), o.tobytes(), (x >> np.uint64(32)).astype(np.uint32).tobytes(), (x >> np.uint64(16)).astype(np.uint16).tobytes()) for k, i, o, x in cut_by((mix(keys[once]) >> np.uint64(20)).astype(np.int64) % n, n, owner, ords[once], keys[once])]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(deal[[r[0] for r in rows]], pa.int32()),
-                pa.array([r[1] if isinstance(r[1], bytes) else int(r[1]).to_bytes(8, "little", signed=True) for r in rows], pa.binary()),
-                pa.array([r[2] for r in rows], pa.binary()),
-                pa.array([r[3] for r in rows], pa.binary()),
-                pa.array([r[4] for r in rows], pa.binary()),
-            ], names=["bucket", "ids", "ords", "high", "low"])
+            rows += [(k, press(i), press(np.diff(o, prepend=np.int32(0))), (x >> np.uint64(32)).astype(np.uint32).tobytes(), (x >> np.uint64(16)).astype(np.uint16).tobytes()) for k, i, o, x in cut_by((mix(keys[once]) >> np.uint64(20)).astype(np.int64) % n, n, owner, ords[once], keys[once])]
+            yield blobs(deal, rows, NAMES)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, ords, keys, known = [], [], [], []
+        ids, ords, keys = [], [], []
         for b in batches:
-            for i, o, h, k in zip(*[b.column(c).to_pylist() for c in ("ids", "ords", "high", "low")], strict=True):
-                if k is not None:
-                    ids.append(np.frombuffer(i, np.int64))
-                    ords.append(np.frombuffer(o, np.int32))
-                    keys.append(np.frombuffer(h, np.uint32).astype(np.uint64) << np.uint64(16) | np.frombuffer(k, np.uint16))
+            for k, i, o, h, x in zip(*[b.column(c).to_pylist() for c in NAMES], strict=True):
+                if h is None:
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([i], pa.binary()), pa.array([o], pa.binary())], names=NAMES[:3])
                 else:
-                    known.append((int.from_bytes(i, "little", signed=True), o))
+                    ids.append(opened([i], np.int64))
+                    ords.append(np.cumsum(opened([o], np.int32), dtype=np.int32))
+                    keys.append(np.frombuffer(h, np.uint32).astype(np.uint64) << np.uint64(16) | np.frombuffer(x, np.uint16))
         if keys:
             ids, ords = np.concatenate(ids), np.concatenate(ords)
             order, _, size = repeated(np.concatenate(keys))
             here = order[size > 1]
             here = here[ids[here] != NOBODY]
-            known += _reply(ids[here], ords[here])
-        for a in range(0, len(known), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in known[a : a + 20_000]], pa.int64()), pa.array([r[1] for r in known[a : a + 20_000]], pa.binary())], names=["__id", "ords"])
+            yield blobs(deal, _replies(ids[here], ords[here], n), NAMES[:3])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, ords = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for b in batches:
+            for i, o in zip(b.column("ids").to_pylist(), b.column("ords").to_pylist(), strict=True):
+                ids.append(opened([i], np.int64))
+                ords.append(np.cumsum(opened([o], np.int32), dtype=np.int32))
+        ids, ords = np.concatenate(ids), np.concatenate(ords)
+        order = np.lexsort((ords, ids))
+        ids, ords = ids[order], ords[order]
+        at = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
+        ends = np.append(at[1:], len(ids))
+        for k in range(0, len(at), 5000):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at[k : k + 5000]]), pa.array([ords[a:z].tobytes() for a, z in zip(at[k : k + 5000], ends[k : k + 5000], strict=True)], pa.binary())], names=["__id", "ords"])
 
     packed = docs.select("__id", "__text").mapInArrow(pack, PACKED)
-    found = packed.repartition(partitions(docs.sparkSession), "bucket").mapInArrow(meet, REPLY)
-    return found.groupBy("__id").agg(F.collect_list("ords").alias("ords"))
+    found = packed.repartition(n, "bucket").mapInArrow(meet, "bucket int, ids binary, ords binary")
+    return found.repartition(n, "bucket").mapInArrow(gather, "__id long, ords binary")
+
+
+MARKS = "bucket int, __id binary, __tag binary, start binary, count binary"
+MARK_NAMES = ["bucket", "__id", "__tag", "start", "count"]
+
+
+def packed_marks(ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, n: int) -> list[tuple]:
+    """Marked starts as runs, one row for each bucket of ids: bucket, ids, tags, starts, counts."""
+    order = np.lexsort((starts, tags, ids))
+    i, t, s = ids[order], tags[order], starts[order].astype(np.int64)
+    if not len(i):
+        return []
+    same = (i[1:] == i[:-1]) & (t[1:] == t[:-1])
+    new = np.append(True, ~same | (s[1:] != s[:-1]))
+    i, t, s = i[new], t[new], s[new]
+    same = (i[1:] == i[:-1]) & (t[1:] == t[:-1])
+    first = np.flatnonzero(np.append(True, ~same | (s[1:] != s[:-1] + 1)))
+    count = np.diff(np.append(first, len(s)))
+    i, t, s = i[first], t[first], s[first]
+    return [(k, *map(press, x)) for k, *x in cut_by(i % n, n, i, t, s.astype(np.int32), count.astype(np.int32))]
+
+
+def gathered_marks(marks: DataFrame) -> DataFrame:
+    """(__id, __marks): for each id its (tag, runs), where runs holds packed (start, count) pairs."""
+    n = partitions(marks.sparkSession)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        for b in batches:
+            parts += zip(*[b.column(c).to_pylist() for c in MARK_NAMES[1:]], strict=True)
+        if not parts:
+            return
+        i, t, s, c = (opened(x, k) for x, k in zip(zip(*parts, strict=True), (np.int64, np.int64, np.int32, np.int32), strict=True))
+        order = np.lexsort((s, t, i))
+        i, t, pairs = i[order], t[order], np.stack([s[order], c[order]], 1).astype(np.int64)
+        at = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (t[1:] != t[:-1])))
+        ends = np.append(at[1:], len(i))
+        for k in range(0, len(at), 5000):
+            a = at[k : k + 5000]
+            yield pa.RecordBatch.from_arrays([pa.array(i[a]), pa.array(t[a]), pa.array([pairs[x:z].tobytes() for x, z in zip(a, ends[k : k + 5000], strict=True)], pa.binary())], names=["__id", "__tag", "runs"])
+
+    each = marks.repartition(n, "bucket").mapInArrow(gather, "__id long, __tag long, runs binary")
+    return each.groupBy("__id").agg(F.collect_list(F.struct("__tag", "runs")).alias("__marks"))
 
 
 def later_copies(docs: DataFrame) -> DataFrame:

@@ -21,9 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, bucket_keys, chunks, cut_by, ids_and_text, mix, partitions, unpacked, windows_hash
-from ._shared import later_copies, shared_keys
-from .op3_suffix_dedup import MARKS, _concat, _marks
+from ._common import Words, bucket_keys, chunks, cut_by, ids_and_text, mix, opened, partitions, press, unpacked, windows_hash
+from ._shared import MARK_NAMES, MARKS, blobs, gathered_marks, later_copies, packed_marks, shared_keys
 
 WINDOW = 20
 ROUNDS = 3
@@ -99,8 +98,9 @@ def witnesses(h: np.ndarray, size: np.ndarray, window: int = WINDOW, rounds: int
     return doc, start, which, np.concatenate(keys)
 
 
-SENT = "bucket int, __id binary, __tag binary, start binary, h1 binary, h2 binary, runs binary"
-NAMES = ["bucket", "__id", "__tag", "start", "h1", "h2", "runs"]
+#: Windows of one bucket (without count), and marks that are settled already (without hashes).
+SENT = MARKS + ", h1 binary, h2 binary"
+NAMES = [*MARK_NAMES, "h1", "h2"]
 
 
 def later(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, starts: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +157,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             first = np.searchsorted(owner[order], np.arange(len(size) + 1))
             ask = np.zeros(len(keys), bool)
             for i, ords in enumerate(b.column("ords").to_pylist()):
-                o = _concat(ords, np.int32)
+                o = np.frombuffer(ords, np.int32)
                 ask[order[first[i] + o[o < first[i + 1] - first[i]]]] = True
             go = np.flatnonzero(ask[which]) if len(which) else which
             if not len(go):
@@ -169,30 +169,28 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             order, gone = later(h1, h2, ids, starts, tags)
             if gone.any():  # settled: an equal window of this batch comes before
                 o = order[gone]
-                m = _marks(ids[o], tags[o], starts[o])
-                none = pa.array([None] * m.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(deal[m.column(0).to_numpy() % n], pa.int32()), *[pa.array([int(x).to_bytes(8, "little", signed=True) for x in m.column(k).to_pylist()], pa.binary()) for k in (0, 1)], none, none, none, m.column(2)], names=NAMES)
+                yield blobs(deal, [(*r, None, None) for r in packed_marks(ids[o], tags[o], starts[o], n)], NAMES)
             o = np.sort(order[~gone])
-            rows = [(k, i.tobytes(), t.tobytes(), s.tobytes(), a.tobytes(), c.tobytes()) for k, i, t, s, a, c in cut_by((h1[o] >> np.uint64(20)).astype(np.int64) % n, n, ids[o], tags[o], starts[o].astype(np.int32), h1[o], h2[o])]
-            yield pa.RecordBatch.from_arrays([pa.array(deal[[r[0] for r in rows]], pa.int32()), *[pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 6)], pa.array([None] * len(rows), pa.binary())], names=NAMES)
+            rows = [(k, press(i), press(t), press(np.diff(s, prepend=np.int32(0))), None, a.tobytes(), c.tobytes()) for k, i, t, s, a, c in cut_by((h1[o] >> np.uint64(20)).astype(np.int64) % n, n, ids[o], tags[o], starts[o].astype(np.int32), h1[o], h2[o])]
+            yield blobs(deal, rows, NAMES)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
         for b in batches:
-            for r in zip(*[b.column(c).to_pylist() for c in range(1, 7)], strict=True):
+            for r in zip(*[b.column(c).to_pylist() for c in NAMES], strict=True):
                 if r[5] is None:
-                    parts.append(r[:5])
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(r[:5], (pa.int32(), *[pa.binary()] * 4), strict=True)], names=MARK_NAMES)
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(r[0], "little", signed=True)], pa.int64()), pa.array([int.from_bytes(r[1], "little", signed=True)], pa.int64()), pa.array([r[5]], pa.binary())], names=["__id", "__tag", "runs"])
+                    parts.append((opened([r[1]], np.int64), opened([r[2]], np.int64), np.cumsum(opened([r[3]], np.int32), dtype=np.int32), np.frombuffer(r[5], np.uint64), np.frombuffer(r[6], np.uint64)))
         if parts:
-            ids, tags, starts, h1, h2 = (_concat(x, t) for x, t in zip(zip(*parts, strict=True), (np.int64, np.int64, np.int32, np.uint64, np.uint64), strict=True))
+            ids, tags, starts, h1, h2 = map(np.concatenate, zip(*parts, strict=True))
             order, gone = later(h1, h2, ids, starts, tags)
             o = order[gone]
             if len(o):
-                yield _marks(ids[o], tags[o], starts[o].astype(np.int64))
+                yield blobs(deal, packed_marks(ids[o], tags[o], starts[o], n), MARK_NAMES)
 
     sent = asked.where(~is_copy).select("__id", "__text", "__rest", "__tag", "ords").mapInArrow(candidates, SENT)
-    marks = sent.repartition(n, "bucket").mapInArrow(settle, MARKS).groupBy("__id").agg(F.collect_list(F.struct("__tag", "runs")).alias("__marks"))
+    marks = gathered_marks(sent.repartition(n, "bucket").mapInArrow(settle, MARKS))
     judged = dealt.join(marks, "__id", "left").join(copies, "__id", "left").select("__text", "__tag", "__rest", "__marks", is_copy.alias("__copy"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +202,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if total >= window and copy:
                     words = []
                 elif total >= window and marks:
-                    r = _concat([m["runs"] for m in marks if m["__tag"] == tag], np.int64).reshape(-1, 2)
+                    r = np.frombuffer(b"".join([m["runs"] for m in marks if m["__tag"] == tag]), np.int64).reshape(-1, 2)
                     step = np.zeros(total + 1, np.int32)
                     np.add.at(step, r[:, 0], 1)
                     np.add.at(step, r[:, 0] + r[:, 1] + window - 1, -1)
