@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local(name: str = "logmere", cores: str = "8", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -20,3 +23,16 @@ def local(name: str = "logmere", cores: str = "8", shuffle_partitions: int = 8,
         .config("spark.log.level", "ERROR")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a machine-local one only where the session names none."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logmere-")
+    return f"{top}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: a short lineage that outlives executors."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
