@@ -26,6 +26,8 @@ from ._graph import components, forest
 THRESHOLD = 0.95
 PROJECTIONS, WINDOW, RECALL = 32, 0.25, 0.9995
 BLOCK = 2048
+#: Queries counted together, so that their counts stay in a core's cache.
+STRIPE = 32
 CELL_DIRECTIONS = 2
 #: Linked vectors differ by at most so many standard deviations in a cell direction.
 REACH = 4.5
@@ -63,15 +65,25 @@ def block_links(x: np.ndarray, y: np.ndarray, same: bool, threshold: float) -> t
     dim = x.shape[1]
     a = directions(dim, PROJECTIONS, 7)
     px, py = x @ a, y @ a
-    count = np.zeros((len(x), len(y)), np.uint8)
+    rank = np.empty((PROJECTIONS, len(y)), np.uint16)  # a block has fewer than 2^16 rows
+    low, width = np.empty((PROJECTIONS, len(x), 1), np.uint16), np.empty((PROJECTIONS, len(x), 1), np.uint16)
     for t in range(PROJECTIONS):
         order = np.argsort(py[:, t], kind="stable")
+        rank[t, order] = np.arange(len(y))
         value = py[order, t]
         lo, hi = np.searchsorted(value, px[:, t] - WINDOW), np.searchsorted(value, px[:, t] + WINDOW, "right")
-        for i, (p, q) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
-            if p < q:
-                count[i, order[p:q]] += 1
-    i, j = np.nonzero(count >= needed(dim, threshold))
+        low[t, :, 0], width[t, :, 0] = lo, hi - lo
+    most, found = needed(dim, threshold), []
+    for s in range(0, len(x), STRIPE):  # a window is a stretch of ranks: one subtraction and one comparison tell
+        n = min(STRIPE, len(x) - s)
+        count, gap, hit = np.zeros((n, len(y)), np.uint8), np.empty((n, len(y)), np.uint16), np.empty((n, len(y)), bool)
+        for t in range(PROJECTIONS):
+            np.subtract(rank[t], low[t, s : s + n], out=gap)
+            np.less(gap, width[t, s : s + n], out=hit)
+            np.add(count, hit.view(np.uint8), out=count)
+        i, j = np.nonzero(count >= most)
+        found.append((i + s, j))
+    i, j = (np.concatenate(c) for c in zip(*found, strict=True))
     if same:
         i, j = i[i < j], j[i < j]
     keep = [np.zeros(0, np.int64)]
@@ -109,9 +121,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = unit(b.column("x").to_pylist()) @ a if b.num_rows else np.zeros((0, CELL_DIRECTIONS))
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("x"), *[pa.array(p[:, k]) for k in range(CELL_DIRECTIONS)]], names=["uid", "x", *[f"p{k}" for k in range(CELL_DIRECTIONS)]])
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("n"), b.column("x"), *[pa.array(p[:, k]) for k in range(CELL_DIRECTIONS)]], names=["uid", "n", "x", *[f"p{k}" for k in range(CELL_DIRECTIONS)]])
 
-    placed = table.where(F.octet_length("x") == 8 * dim).select("uid", "x").mapInArrow(project, "uid long, x binary, " + ", ".join(f"p{k} double" for k in range(CELL_DIRECTIONS)))
+    # Equal vectors are one node with a weight, so a vector that a third of all rows hold is compared once.
+    nodes = written(table.where(F.octet_length("x") == 8 * dim).groupBy("x").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least")), "nodes")
+    placed = nodes.select("uid", "n", "x").mapInArrow(project, "uid long, n long, x binary, " + ", ".join(f"p{k} double" for k in range(CELL_DIRECTIONS)))
     cuts = max(1, int(np.ceil((total / BLOCK) ** (1 / CELL_DIRECTIONS))))
     at = [placed.approxQuantile(f"p{k}", [j / cuts for j in range(1, cuts)], 0.01) if cuts > 1 and total else [] for k in range(CELL_DIRECTIONS)]
     cell = F.lit(0)
@@ -133,24 +147,26 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = celled.join(bounds.select("cell", "splits"), "cell").withColumn("split", F.pmod(F.xxhash64("uid"), F.col("splits")).cast("int")).join(sides, ["cell", "split"])
 
     def tile(key, t):  # two blocks at most
-        side, uid = t.column("side").to_numpy(), t.column("uid").to_numpy()
+        side, uid, n = t.column("side").to_numpy(), t.column("uid").to_numpy(), t.column("n").to_numpy()
         x = unit(t.column("x").to_pylist())
         first = np.flatnonzero(side == 0)
         second = np.flatnonzero(side == 1) if key[0] != key[2] or key[1] != key[3] else first
         i, j = block_links(x[first], x[second], second is first, threshold) if len(first) and len(second) else (first[:0], first[:0])
-        i, j = uid[first[i]], uid[second[j]]
-        node, root = forest(i, j)
-        links = np.bincount(np.searchsorted(node, np.concatenate([i, j])), minlength=len(node))
+        i, j = first[i], second[j]
+        node, root = forest(uid[i], uid[j])
+        links = np.bincount(np.searchsorted(node, np.concatenate([uid[i], uid[j]])), np.concatenate([n[j], n[i]]), len(node)).astype(np.int64)
         return pa.Table.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64()), pa.array(links, pa.int64())], names=["uid", "root", "links"])
 
-    found = rows.select("c1", "s1", "c2", "s2", "side", "uid", "x").repartition(partitions(spark), "c1", "s1", "c2", "s2").groupBy("c1", "s1", "c2", "s2").applyInArrow(tile, "uid long, root long, links long")
+    found = rows.select("c1", "s1", "c2", "s2", "side", "uid", "n", "x").repartition(partitions(spark), "c1", "s1", "c2", "s2").groupBy("c1", "s1", "c2", "s2").applyInArrow(tile, "uid long, root long, links long")
     found = written(found, "links")
     counts = found.groupBy("uid").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("uid").alias("u"), F.col("root").alias("v")))
-    ids = table.select("uid", "vec_id")
-    rooted = ids.join(roots.withColumnRenamed("node", "uid"), "uid", "left").join(counts, "uid", "left").select("uid", "vec_id", F.coalesce("root", "uid").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    least = rooted.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    return rooted.join(least, "root").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    facts = nodes.join(roots.withColumnRenamed("node", "uid"), "uid", "left").join(counts, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    least = facts.groupBy("root").agg(F.min("least").alias("component_id"))
+    facts = facts.join(least, "root").select("x", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"))
+    out = table.where("x IS NOT NULL").join(facts, "x", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = out.union(table.where("x IS NULL").select("vec_id", F.lit(0).cast("long"), "vec_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
