@@ -4,8 +4,8 @@ A document's set is its distinct 3-word shingles. Sets that are equal are one no
 rare to frequent by a fixed-size histogram over all documents; if two sets link, their prefixes in that order
 share a shingle, so an index list per prefix shingle meets every link.
 
-Set relations: sets with the same least shingle hash form a star; each is compared with the star's leader, and
-what links to it takes the leader's label. A list then derives a labelled set's answers from its leader: sets of
+Set relations: sets with the same least shingle hash under one of four orders form a star; each is compared with
+the star's leader, and all that these links connect takes one label. A list then derives a labelled set's answers from its leader: sets of
 one label are already connected and are skipped, and only pairs across labels are compared. Within a list, sorted
 by size, each set skips in blocks to the sizes it can link with, and drops pairs whose prefix positions leave too
 little overlap.
@@ -22,13 +22,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, chunks, cut_by, mix, partitions, written
+from ._common import Words, chunks, cut_by, mix, opened, partitions, press, written
 from ._graph import components
 
 SHINGLE = 3
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 90
 HISTOGRAM_BITS, PARTS = 18, 64
+#: Odd factors; the least shingle hash under each makes one star.
+PERMUTED = list(mix(np.arange(1, 5, dtype=np.uint64)) | np.uint64(1))
+FIELDS = ["doc_id", "sid", "n", "leasts", "text", "part", "counts"]
 #: A leader's text is copied once for so many of its pairs.
 SALT = 500
 
@@ -66,49 +69,44 @@ def least_linked(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def describe(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, sid, n, least) of every document."""
+def describe(docs: DataFrame, k: int, smallest: int) -> DataFrame:
+    """One pass over the texts. A row for each document: doc_id, sid, n, leasts, and the text where this task first meets a
+    set of `smallest` shingles and more; and rows (part, counts) of how many shingles fall to each of
+    2^HISTOGRAM_BITS hash cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(lower=True)
-        for b in chunks(batches, "text"):
-            sets = shingle_sets(b.column("text").to_pylist(), words, k)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(s[0] >> np.uint64(1)) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "sid", "n", "least"])
-
-    return docs.mapInArrow(run, "doc_id long, sid long, n long, least long")
-
-
-def frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """How many shingle occurrences over all documents fall to each of 2^HISTOGRAM_BITS hash cells; a fixed size."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, total = Words(lower=True), np.zeros(1 << HISTOGRAM_BITS, np.int64)
         for b in chunks(batches, "text"):
-            for s in shingle_sets(b.column("text").to_pylist(), words, k):
-                np.add.at(total, (s >> np.uint64(64 - HISTOGRAM_BITS)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in np.split(total, PARTS)], pa.binary())], names=["part", "counts"])
-
-    def add(key, t):  # one row for each task
-        total = sum(np.frombuffer(c, np.int64) for c in t.column("counts").to_pylist())
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
-
-    rows = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows)]) if rows else np.zeros(1 << HISTOGRAM_BITS, np.int64)
-
-
-def nodes(docs: DataFrame, k: int, smallest: int) -> DataFrame:
-    """(sid, text): one text for each distinct set of `smallest` shingles and more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(lower=True)
-        for b in chunks(batches, "text"):
-            texts, keep = b.column("text").to_pylist(), {}
-            for t, s in zip(texts, shingle_sets(texts, words, k), strict=True):
-                if len(s) >= smallest:
-                    keep.setdefault(set_id(s), t)
-            yield pa.RecordBatch.from_arrays([pa.array(list(keep), pa.int64()), pa.array(list(keep.values()), pa.string())], names=["sid", "text"])
+            texts = b.column("text").to_pylist()
+            sets, met = shingle_sets(texts, words, k), set()
+            sids = [set_id(s) for s in sets]
+            if any(map(len, sets)):
+                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - HISTOGRAM_BITS)).astype(np.int64), minlength=1 << HISTOGRAM_BITS)
+            first = [len(s) >= smallest and not (i in met or met.add(i)) for s, i in zip(sets, sids, strict=True)]
+            leasts = [[int((s * c).min() >> np.uint64(1)) for c in PERMUTED] if len(s) else None for s in sets]
+            none = pa.nulls(len(sets))
+            yield pa.RecordBatch.from_arrays([
+                b.column("doc_id"), pa.array(sids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(leasts, pa.list_(pa.int64())),
+                pa.array([t if f else None for t, f in zip(texts, first, strict=True)], pa.string()), none.cast(pa.int32()), none.cast(pa.binary()),
+            ], names=FIELDS)
+        none = pa.nulls(PARTS)
+        yield pa.RecordBatch.from_arrays([*[none.cast(t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string())], pa.array(range(PARTS), pa.int32()), pa.array([press(x) for x in np.split(total, PARTS)], pa.binary())], names=FIELDS)
+
+    return docs.mapInArrow(run, "doc_id long, sid long, n long, leasts array<long>, text string, part int, counts binary")
+
+
+def frequencies(described: DataFrame) -> np.ndarray:
+    """The histogram over all documents; a fixed size."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, counts in zip(b.column("part").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                total[part] = total.get(part, 0) + opened([counts], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([press(x) for x in total.values()], pa.binary())], names=["part", "counts"])
 
-    return docs.select("text").mapInArrow(run, "sid long, text string").groupBy("sid").agg(F.first("text").alias("text"))
+    rows = described.where("part IS NOT NULL").select("part", "counts").repartition(min(PARTS, partitions(described.sparkSession)), "part").mapInArrow(add, "part int, counts binary").collect()
+    return np.concatenate([opened([r["counts"]], np.int64) for r in sorted(rows)]) if rows else np.zeros(1 << HISTOGRAM_BITS, np.int64)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -174,24 +172,31 @@ def list_pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarra
 PACKED = "bucket int, token binary, sid binary, n binary, pos binary, label binary"
 
 
-def jaccard_links(docs: DataFrame, base: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(a, b) long: links between distinct sets, enough to connect all sets that any chain of links connects."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    smallest = 1  # below this size only equal sets link
+def least_size(percent: int) -> int:
+    """Sets below this size link with equal sets only."""
+    smallest = 1
     while smallest < 1000 and least_linked(np.array(smallest + 1), percent) > smallest:
         smallest += 1
-    texts = nodes(docs, k, smallest)
-    cells = frequencies(docs, k)
+    return smallest
+
+
+def jaccard_links(described: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(a, b) long: links between distinct sets, enough to connect all sets that any chain of links connects."""
+    spark = described.sparkSession
+    parts = partitions(spark)
+    texts = written(described.where("text IS NOT NULL").groupBy("sid").agg(F.first("text").alias("text"), F.first("leasts").alias("leasts")), "texts")
+    cells = frequencies(described)
     rank = np.empty(len(cells), np.int64)
     rank[np.argsort(cells, kind="stable")] = np.arange(len(cells))
     shared = spark.sparkContext.broadcast(rank.astype(np.int32))  # 1 MB whatever the corpus
 
-    sets = base.where(F.col("n") >= smallest).groupBy("sid").agg(F.first("n").alias("n"), F.first("least").alias("least"))
-    leaders = sets.groupBy("least").agg(F.min("sid").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1").select("least", "a")
-    stars = sets.join(leaders, "least").where("sid <> a").select("a", F.col("sid").alias("b"))
+    sets = texts.select("sid", F.posexplode("leasts").alias("turn", "least"))
+    leaders = sets.groupBy("turn", "least").agg(F.min("sid").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    stars = sets.join(leaders, ["turn", "least"]).where("sid <> a").select("a", F.col("sid").alias("b")).distinct()
+    texts = texts.drop("leasts")
     own = written(verify(stars, texts, k, percent), "stars")
-    labels = sets.join(own.select(F.col("b").alias("sid"), F.col("a").alias("label")), "sid", "left").select("sid", F.coalesce("label", "sid").alias("label"))
+    named = components(own.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    labels = texts.select("sid").join(named.select(F.col("node").alias("sid"), F.col("root").alias("label")), "sid", "left").select("sid", F.coalesce("label", "sid").alias("label"))
 
     def prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, order = Words(lower=True), shared.value
@@ -235,8 +240,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a null id takes part and is never the smallest unless all ids of its group are null. An empty table gives one.
     """
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    base = written(describe(d, k), "sets")
-    links = jaccard_links(d, base, k, percent)
+    described = written(describe(d, k, least_size(percent)), "sets")
+    base = described.where("part IS NULL").select("doc_id", "sid", "n")
+    links = jaccard_links(described, k, percent)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     rooted = base.where("n > 0").join(roots, base["sid"] == roots["node"], "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
