@@ -37,7 +37,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ Set relations: sets with the same least shingle hash under one of four orders fo
 the star's leader, and all that these links connect takes one label. A list then derives a labelled set's answers from its leader: sets of
 one label are already connected and are skipped, and only pairs across labels are compared. Within a list, sorted
 by size, each set skips in blocks to the sizes it can link with, and drops pairs whose prefix positions leave too
-little overlap.
+little overlap or whose parity bits differ in more places than linked sets can.
 """
 
 from __future__ import annotations
@@ -134,10 +134,16 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return right.join(left, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(test, "a long, b long")
 
 
-def list_pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray, percent: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of index lists: equal tokens, different labels, sizes and positions that can link."""
+def parity(s: np.ndarray) -> np.ndarray:
+    """256 bits; sets that differ in d shingles differ in d bits at most."""
+    bits = np.bincount((s * PERMUTED[-1] >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
+
+
+def list_pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray, sketch: np.ndarray, percent: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of index lists: equal tokens, different labels; sizes, positions and parities that can link."""
     order = np.lexsort((sid, n, token))
-    token, sid, n, pos, label = (x[order] for x in (token, sid, n, pos, label))
+    token, sid, n, pos, label, sketch = (x[order] for x in (token, sid, n, pos, label, sketch))
     new = np.append(True, token[1:] != token[:-1]) if len(token) else np.zeros(0, bool)
     group = np.cumsum(new) - 1
     first = np.flatnonzero(new)
@@ -145,7 +151,7 @@ def list_pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarra
     live = np.flatnonzero(mixed[group])  # lists of one label are answered
     if not len(live):
         return
-    sid, n, pos, label, group = (x[live] for x in (sid, n, pos, label, group))
+    sid, n, pos, label, group, sketch = (x[live] for x in (sid, n, pos, label, group, sketch))
     # sizes are sorted within a list: skip to the end of those that can link
     wide = int(n.max()) + 1
     key = group * wide + n
@@ -165,11 +171,14 @@ def list_pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarra
             need = -(-(n[i] + n[j]) * percent // (100 + percent))
             ok = 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
             i, j = i[ok], j[ok]
+            apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1)  # no more than the sets' difference
+            ok = apart <= (n[i] + n[j]) * (100 - percent) // (100 + percent)
+            i, j = i[ok], j[ok]
             yield np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
         start = stop
 
 
-PACKED = "bucket int, token binary, sid binary, n binary, pos binary, label binary"
+PACKED = "bucket int, token binary, sid binary, n binary, pos binary, label binary, sketch binary"
 
 
 def least_size(percent: int) -> int:
@@ -201,7 +210,7 @@ def jaccard_links(described: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     def prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, order = Words(lower=True), shared.value
         for b in chunks(batches, "text"):
-            token, sid, size, pos, label = [], [], [], [], []
+            token, sid, size, pos, label, sketch = [], [], [], [], [], []
             for s, i, x in zip(shingle_sets(b.column("text").to_pylist(), words, k), b.column("sid").to_pylist(), b.column("label").to_pylist(), strict=True):
                 m = len(s) - int(least_linked(np.array(len(s)), percent)) + 1
                 at = order[(s >> np.uint64(64 - HISTOGRAM_BITS)).astype(np.int64)]
@@ -210,20 +219,22 @@ def jaccard_links(described: DataFrame, k: int = SHINGLE, percent: int = PERCENT
                 size.append(np.full(m, len(s), np.int32))
                 pos.append(np.arange(1, m + 1, dtype=np.int32))
                 label.append(np.full(m, x, np.int64))
+                sketch.append(np.repeat(parity(s)[None], m, 0))
             if token:
-                token, sid, size, pos, label = map(np.concatenate, (token, sid, size, pos, label))
-                rows = list(cut_by((mix(token) >> np.uint64(13)).astype(np.int64) % (4 * parts), 4 * parts, token, sid, size, pos, label))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[c].tobytes() for r in rows], pa.binary()) for c in range(1, 6)]], names=["bucket", "token", "sid", "n", "pos", "label"])
+                token, sid, size, pos, label, sketch = map(np.concatenate, (token, sid, size, pos, label, sketch))
+                rows = list(cut_by((mix(token) >> np.uint64(13)).astype(np.int64) % (4 * parts), 4 * parts, token, sid, size, pos, label, sketch))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[c].tobytes() for r in rows], pa.binary()) for c in range(1, 7)]], names=["bucket", "token", "sid", "n", "pos", "label", "sketch"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: dict[int, list[tuple]] = {}
         for b in batches:
-            for r in zip(*[b.column(c).to_pylist() for c in range(6)], strict=True):
+            for r in zip(*[b.column(c).to_pylist() for c in range(7)], strict=True):
                 have.setdefault(r[0], []).append(r[1:])
-        kinds = (np.uint64, np.int64, np.int32, np.int32, np.int64)
+        kinds = (np.uint64, np.int64, np.int32, np.int32, np.int64, np.uint64)
         for bucket in list(have):
             cols = [np.frombuffer(b"".join(x), t) for x, t in zip(zip(*have.pop(bucket), strict=True), kinds, strict=True)]
             cols = [c.astype(np.int64) if c.dtype == np.int32 else c for c in cols]
+            cols[5] = cols[5].reshape(-1, 4)
             for a, c in list_pairs(*cols, percent):
                 pair = np.unique(np.stack([a, c], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
