@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by suffix-array matching, for BPE models with byte fallback.
 
 A piece holds the space mark only at its start, so a text falls into units (space marks, then other characters)
-that encode independently. Units that a worker has not met are concatenated and indexed by a suffix array; a
+that encode independently; where no piece joins a letter to another character, units part there as well. Units that a worker has not met are concatenated and indexed by a suffix array; a
 binary search of every piece gives the range of suffixes it begins; the occurrences, sorted by position, are the
 edges. As the model is a BPE model, edges relax in the order of its merges (best score first, leftmost on a tie)
 instead of by the best sum of scores; only this gives SentencePiece's own ids.
@@ -23,9 +23,18 @@ from .suffix import suffix_array
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-_UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Units kept by a worker.
-CACHE = 1 << 18
+CACHE = 1 << 19
+
+
+def unit_pattern(pieces: list[str]) -> str:
+    """Parts a text where no piece can lie across: before space marks, and between the pieces' letters and all else if no piece has both."""
+    letters = sorted({c for p in pieces for c in p if c.isalpha()})
+    apart = letters and not any(a != SPACE and a.isalpha() != c.isalpha() for p in pieces for a, c in zip(p, p[1:], strict=False))
+    if not apart:
+        return f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+    own = re.escape("".join(letters))
+    return f"{SPACE}*[{own}]+|{SPACE}*[^{own}{SPACE}]+|{SPACE}+"
 
 
 class Pieces:
@@ -35,7 +44,10 @@ class Pieces:
         normal = [(p, s, i) for i, (p, s, k) in enumerate(rows) if k == 1]
         self.byte = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(rows) if k == 6}
         self.single = {p: i for p, _, i in normal if len(p) == 1}
-        self.bytes = [b"" if k == 3 else b" \xe2\x81\x87 " if k == 2 else bytes([int(p[3:5], 16)]) if k == 6 else p.encode() for p, _, k in rows]
+        self.unit = re.compile(unit_pattern([p for p, _, _ in normal]))
+        said = [b"" if k == 3 else b" \xe2\x81\x87 " if k == 2 else bytes([int(p[3:5], 16)]) if k == 6 else p.encode() for p, _, k in rows]
+        self.said, self.said_size = np.frombuffer(b"".join(said), np.uint8), np.fromiter(map(len, said), np.int64, len(said))
+        self.said_at = np.cumsum(self.said_size) - self.said_size
         scores = sorted({s for _, s, _ in normal}, reverse=True)
         place = {s: r for r, s in enumerate(scores)}
         several = np.bincount([place[s] for _, s, _ in normal]) > 1
@@ -126,16 +138,22 @@ def encode_units(units: list[str], pieces: Pieces) -> list[bytes]:
     unit, start, size = unit[order], start[order], size[order]
     key = start * wide + size
     at = np.minimum(np.searchsorted(edges, key), max(len(edges) - 1, 0))
-    out: list[list[int]] = [[] for _ in units]
-    ids = pieces.ids[rows[at]].tolist() if len(edges) else [0] * len(at)
-    for u, p, z, i in zip(unit.tolist(), start.tolist(), size.tolist(), ids, strict=True):
-        if z > 1:
-            out[u].append(i)
-        elif (one := pieces.single.get(joined[p])) is not None:
-            out[u].append(one)
-        else:
-            out[u] += [pieces.byte[b] for b in joined[p].encode()]
-    return [np.array(x, np.int32).tobytes() for x in out]
+    ids = np.where(size > 1, pieces.ids[rows[at]] if len(edges) else 0, -1).astype(np.int32)
+    alone = np.flatnonzero(size == 1)
+    values, which = np.unique(s[start[alone]], return_inverse=True)
+    ones = [[i] if (i := pieces.single.get(chr(c))) is not None else [pieces.byte[x] for x in chr(c).encode()] for c in values.tolist()]
+    many = np.array([len(x) for x in ones], np.int64)
+    ids[alone] = np.array([x[0] for x in ones], np.int32)[which] if len(ones) else 0
+    if (many > 1).any():  # bytes after the first one
+        count = np.ones(len(ids), np.int64)
+        count[alone] = many[which]
+        ids, unit = np.repeat(ids, count), np.repeat(unit, count)
+        to = (np.cumsum(count) - count)[alone]
+        for v in np.flatnonzero(many > 1):
+            for k, i in enumerate(ones[v][1:], 1):
+                ids[to[which == v] + k] = i
+    packed, ends = ids.tobytes(), (4 * np.cumsum(np.bincount(unit, minlength=len(units)))).tolist()
+    return [packed[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def _edges(s: np.ndarray, dense: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +175,7 @@ class Encoder:
         self.pieces, self.known = pieces, {}
 
     def units(self, text: str) -> list[str]:
-        return _UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        return self.pieces.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def encode(self, texts: list[str]) -> list[bytes]:
         lists = [self.units(t) for t in texts]
@@ -168,9 +186,24 @@ class Encoder:
             self.known.update(zip(fresh, encode_units(fresh, self.pieces), strict=True))
         return [b"".join(map(self.known.__getitem__, x)) for x in lists]
 
-    def decode(self, ids: bytes) -> str:
-        raw = b"".join(map(self.pieces.bytes.__getitem__, np.frombuffer(ids, np.int32).tolist()))
-        return raw.decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+    def decode(self, lists: list[bytes]) -> list[str]:
+        p, ids = self.pieces, np.frombuffer(b"".join(lists), np.int32)
+        size = p.said_size[ids]
+        ends = np.append(0, np.cumsum(size))
+        raw = p.said[np.arange(ends[-1]) + np.repeat(p.said_at[ids] - ends[:-1], size)].tobytes()
+        cut = ends[np.cumsum([0, *[len(x) // 4 for x in lists]])].tolist()
+        return [raw[a:z].decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ") for a, z in zip(cut, cut[1:], strict=False)]
+
+
+#: The encoder of this worker process, by model: later tasks find the units that earlier ones have met.
+_OWN: dict[str, Encoder] = {}
+
+
+def encoder(model: str, shared) -> Encoder:
+    if model not in _OWN:
+        _OWN.clear()
+        _OWN[model] = Encoder(shared.value)
+    return _OWN[model]
 
 
 def load(model: str) -> Pieces:
@@ -191,7 +224,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataF
     shared = _broadcast(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(shared.value)
+        e = encoder(model, shared)
         for b in chunks(batches, "__text"):
             yield pa.RecordBatch.from_arrays([b.column("__rest"), pa.array(e.encode(b.column("__text").to_pylist()), pa.binary())], names=["__rest", "__ids"])
 
@@ -204,9 +237,9 @@ def decode(encoded: DataFrame, ids_col: str = "__ids", model: str = MODEL) -> Da
     shared = _broadcast(encoded.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(shared.value)
+        e = encoder(model, shared)
         for b in chunks(batches, "__packed"):
-            yield pa.RecordBatch.from_arrays([b.column("__rest"), pa.array([e.decode(x) for x in b.column("__packed").to_pylist()], pa.string())], names=["__rest", "__decoded"])
+            yield pa.RecordBatch.from_arrays([b.column("__rest"), pa.array(e.decode(b.column("__packed").to_pylist()), pa.string())], names=["__rest", "__decoded"])
 
     return table.mapInArrow(run, f"__rest {table.schema['__rest'].dataType.simpleString()}, __decoded string").select("__rest.*", "__decoded")
 
@@ -220,11 +253,11 @@ def report(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataF
     shared = _broadcast(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(shared.value)
+        e = encoder(model, shared)
         for b in chunks(batches, "__text"):
             texts = b.column("__text").to_pylist()
             ids = e.encode(texts)
-            back = [e.decode(x) for x in ids]
+            back = e.decode(ids)
             yield pa.RecordBatch.from_arrays([
                 b.column("__rest"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]), pa.array([a == t for a, t in zip(back, texts, strict=True)], pa.bool_()),
