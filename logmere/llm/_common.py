@@ -100,10 +100,10 @@ def windows_hash(h: np.ndarray, k: int, base: int = BASE) -> np.ndarray:
 
 
 class Words:
-    """Words of a text are maximal runs of bytes other than 20 and 09-0D; each gets two 64-bit hashes. The cache is bounded."""
+    """Words of a text are maximal runs of bytes other than 20 and 09-0D; each gets two 64-bit hashes, without the bytes of `strip` at its ends. The cache is bounded."""
 
-    def __init__(self, lower: bool = False, most: int = 1 << 20):
-        self.lower, self.most = lower, most
+    def __init__(self, lower: bool = False, most: int = 1 << 20, strip: bytes = b""):
+        self.lower, self.most, self.strip = lower, most, strip
         self.clear()
 
     def clear(self) -> None:
@@ -127,7 +127,7 @@ class Words:
             for w in words:
                 if w not in ids:
                     ids[w] = len(ids)
-                    v = xxhash.xxh3_128_intdigest(w)
+                    v = xxhash.xxh3_128_intdigest(w.strip(self.strip) if self.strip else w)
                     self.values += (v & 0xFFFFFFFFFFFFFFFF, v >> 64)
             at = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
         if len(self.table) < len(ids):

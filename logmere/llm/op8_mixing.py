@@ -31,11 +31,19 @@ def domain(quality: str = "quality", toxic: str = "toxic") -> F.Column:
     return F.when(F.col(toxic) == 1, "toxic").when(F.col(quality) == 1, "good").when(F.col(quality) == 0, "plain")
 
 
-def features(text: str, words: Words) -> tuple[int, np.ndarray]:
-    """The number of words, and hashed places of the distinct lower-cased words without punctuation at their ends."""
-    found = words.split(text)
-    h = words.hashes([w.strip(b".,;:!?()[]\"'|") for w in found])[:, 0] if found else np.zeros(0, np.uint64)
-    return len(found), np.unique((h >> np.uint64(64 - BITS)).astype(np.int64))
+def vocabulary() -> Words:
+    """Lower-cased words without punctuation at their ends."""
+    return Words(lower=True, strip=b".,;:!?()[]\"'|")
+
+
+def features(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of words of each text, its number of distinct hashed places, and these places one text after the other."""
+    lists = [words.split(t) for t in texts]
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    h = words.hashes([w for x in lists for w in x])[:, 0]
+    place = np.repeat(np.arange(len(lists)), size) << BITS | (h >> np.uint64(64 - BITS)).astype(np.int64)
+    place = np.unique(place)
+    return size, np.bincount(place >> BITS, minlength=len(lists)), place & (1 << BITS) - 1
 
 
 def fit(sets: list[np.ndarray], labels: list[int], classes: int) -> np.ndarray:
@@ -48,31 +56,40 @@ def fit(sets: list[np.ndarray], labels: list[int], classes: int) -> np.ndarray:
     odds = np.log((seen + 0.5) / (prior + 1)) - np.log((seen.sum(1, keepdims=True) - seen + 0.5) / (prior.sum() - prior + 1))
     odds[seen.sum(1) < 2] = 0  # a word of one document tells nothing
     scale = np.abs(odds).max(1)
-    flat = np.concatenate([*sets, np.zeros(0, np.int64)])
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat, row = np.concatenate([*sets, np.zeros(0, np.int64)]), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat, row = flat[told := scale[flat] > 0], row[told]
     value = scale[flat] / np.sqrt(np.maximum(1e-9, np.bincount(row, scale[flat] ** 2, len(sets))))[row]
+    full, begin = np.unique(row, return_index=True)
     used, place = np.unique(flat, return_inverse=True)
-    w, bias = np.zeros((len(used), classes)), np.log(prior + 1)
+    order = np.argsort(place, kind="stable")  # the same entries by place, for the gradient
+    row_of, value_of, first = row[order], value[order], np.searchsorted(place[order], np.arange(len(used)))
+    z = np.zeros((len(sets), classes))
+    w, bias = np.zeros((classes, len(used))), np.log(prior + 1)
     memory = np.zeros_like(w)
-    for _ in range(STEPS):  # AdaGrad on the whole sample
-        z = np.stack([np.bincount(row, value * w[place, k], len(sets)) for k in range(classes)], 1) + bias
-        p = np.exp(z - z.max(1, keepdims=True))
+    for _ in range(STEPS if len(used) else 0):  # AdaGrad on the whole sample
+        for k in range(classes):
+            z[full, k] = np.add.reduceat(value * w[k][place], begin)
+        p = np.exp((x := z + bias) - x.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        e = (p - y) / len(sets)
-        g = np.stack([np.bincount(place, value * e[row, k], len(used)) for k in range(classes)], 1) + L2 * w / len(sets)
+        e = ((p - y) / len(sets)).T.copy()
+        g = np.stack([np.add.reduceat(value_of * e[k][row_of], first) for k in range(classes)]) + L2 * w / len(sets)
         memory += g * g
         w -= 0.5 * g / np.sqrt(memory + 1e-12)
-        bias -= 0.5 * e.sum(0)
+        bias -= 0.5 * e.sum(1)
     out = np.zeros((1 << BITS) + 1, dtype=(np.float64, classes))
-    out[used], out[-1] = w, bias
+    out[used], out[-1] = w.T, bias
     return np.concatenate([out, np.append(scale, 0)[:, None]], 1)
 
 
-def posterior(s: np.ndarray, model: np.ndarray) -> np.ndarray:
-    w, scale = model[s, :-1], model[s, -1]
-    z = (w * scale[:, None]).sum(0) / np.sqrt(max(1e-9, (scale**2).sum())) + model[-1, :-1]
-    p = np.exp(z - z.max())
-    return p / p.sum()
+def posterior(size: np.ndarray, flat: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """A row for each text; table: scaled weights and the squared scale of each place."""
+    z = np.zeros((len(size), table.shape[1]))
+    full = np.flatnonzero(size)
+    if len(full):
+        z[full] = np.add.reduceat(table[flat], (np.cumsum(size) - size)[full])
+    z = z[:, :-1] / np.sqrt(np.maximum(1e-9, z[:, -1:])) + bias
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -85,9 +102,10 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -
     text = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(lower=True)
+        words = vocabulary()
         for b in chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("domain"), pa.array([features(t, words)[1].astype(np.int32).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "domain", "s"])
+            _, size, flat = features(b.column("text").to_pylist(), words)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("domain"), pa.array([x.tobytes() for x in np.split(flat.astype(np.int32), np.cumsum(size)[:-1])], pa.binary())], names=["doc_id", "domain", "s"])
 
     rows = sorted(text.where(uniform < min(1.0, SAMPLE / max(1, count))).join(some, "doc_id").mapInArrow(sample, "doc_id long, domain string, s binary").collect())
     rows = [r for r in rows if r["s"]]
@@ -100,10 +118,13 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -
     table = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__rest"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model = Words(lower=True), shared.value.astype(np.float64)
+        words, model = vocabulary(), shared.value.astype(np.float64)
+        bias, scale = model[-1, :-1], model[:-1, -1:]
+        table = np.concatenate([model[:-1, :-1] * scale, scale**2], 1)
         for b in chunks(batches, "__text"):
-            found = [features(t, words) for t in b.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("__rest"), pa.array([n for n, _ in found], pa.int64()), pa.array([posterior(s, model).tolist() for _, s in found], pa.list_(pa.float64()))], names=["__rest", "__n_words", "__p"])
+            n, size, flat = features(b.column("__text").to_pylist(), words)
+            p = posterior(size, flat, table, bias)
+            yield pa.RecordBatch.from_arrays([b.column("__rest"), pa.array(n), pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * len(DOMAINS), p.reshape(-1))], names=["__rest", "__n_words", "__p"])
 
     return table.mapInArrow(score, f"__rest {table.schema['__rest'].dataType.simpleString()}, __n_words long, __p array<double>").select("__rest.*", "__n_words", "__p")
 
