@@ -99,6 +99,19 @@ def windows_hash(h: np.ndarray, k: int, base: int = BASE) -> np.ndarray:
         size *= 2
 
 
+class _Ids(dict):
+    """A number for each word; a new word's two hashes are put into `values`."""
+
+    def __init__(self, strip: bytes):
+        self.strip, self.values = strip, []
+
+    def __missing__(self, w: bytes) -> int:
+        v = xxhash.xxh3_128_intdigest(w.strip(self.strip) if self.strip else w)
+        self.values += (v & 0xFFFFFFFFFFFFFFFF, v >> 64)
+        self[w] = n = len(self)
+        return n
+
+
 class Words:
     """Words of a text are maximal runs of bytes other than 20 and 09-0D; each gets two 64-bit hashes, without the bytes of `strip` at its ends. The cache is bounded."""
 
@@ -107,8 +120,7 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.values: list[int] = []
+        self.ids = _Ids(self.strip)
         self.table = np.zeros((0, 2), np.uint64)
 
     def split(self, text: str) -> list[bytes]:
@@ -117,22 +129,13 @@ class Words:
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
         """An (n, 2) array."""
-        ids = self.ids
-        if len(ids) > self.most:
+        if len(self.ids) > self.most:
             self.clear()
-            ids = self.ids
-        try:
-            at = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            for w in words:
-                if w not in ids:
-                    ids[w] = len(ids)
-                    v = xxhash.xxh3_128_intdigest(w.strip(self.strip) if self.strip else w)
-                    self.values += (v & 0xFFFFFFFFFFFFFFFF, v >> 64)
-            at = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-        if len(self.table) < len(ids):
-            fresh = np.array(self.values, np.uint64).reshape(-1, 2)
-            self.table, self.values = np.concatenate([self.table, fresh]), []
+        ids = self.ids
+        at = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+        if ids.values:
+            fresh = np.array(ids.values, np.uint64).reshape(-1, 2)
+            self.table, ids.values = np.concatenate([self.table, fresh]), []
         return self.table[at]
 
 

@@ -9,6 +9,7 @@ pass over the table adds up the domains' expected words, and only that vector re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,9 @@ def domain(quality: str = "quality", toxic: str = "toxic") -> F.Column:
     return F.when(F.col(toxic) == 1, "toxic").when(F.col(quality) == 1, "good").when(F.col(quality) == 0, "plain")
 
 
+@cache
 def vocabulary() -> Words:
-    """Lower-cased words without punctuation at their ends."""
+    """Lower-cased words without punctuation at their ends; this worker process's own, so later tasks find the words of earlier ones."""
     return Words(lower=True, strip=b".,;:!?()[]\"'|")
 
 
@@ -42,7 +44,8 @@ def features(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray, np
     size = np.fromiter(map(len, lists), np.int64, len(lists))
     h = words.hashes([w for x in lists for w in x])[:, 0]
     place = np.repeat(np.arange(len(lists)), size) << BITS | (h >> np.uint64(64 - BITS)).astype(np.int64)
-    place = np.unique(place)
+    place.sort()
+    place = place[np.append(True, place[1:] != place[:-1])] if len(place) else place
     return size, np.bincount(place >> BITS, minlength=len(lists)), place & (1 << BITS) - 1
 
 
