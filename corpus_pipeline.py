@@ -1,7 +1,7 @@
 """A corpus pipeline in five stages; each is written as Parquet and read again as the next one's documents.
 
 language     documents without letters or whose language is uncertain go
-near_dups    of each group of near-duplicates (3-word shingles, Jaccard 0.9) the smallest doc_id stays
+near_dups    of each group of near-duplicates (5-word shingles, Jaccard 0.8) the smallest doc_id stays
 substrings   words of 20-word windows that also start earlier go; documents left without words go
 mixing       words of the domains are brought to target weights; documents with no copy go
 tokens       SentencePiece ids, with an exact round trip
@@ -17,6 +17,8 @@ from logmere.llm._common import written
 
 #: Below this the languages' scores hardly differ.
 LEAST_SCORE = 0.27
+#: Near copies share this percentage of their shingles of so many words; op6_jaccard_join itself keeps 3 words and 90.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates. A document with a null id stays."""
-    groups = op6_jaccard.near_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    groups = op6_jaccard.near_groups(docs, k=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
 
 
