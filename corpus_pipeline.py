@@ -1,6 +1,6 @@
 """A corpus pipeline in five stages; each is written as Parquet and read again as the next one's documents.
 
-language     documents without letters or whose language is uncertain go
+language     documents without letters, of no learned language or whose language is uncertain go
 near_dups    of each group of near-duplicates (5-word shingles, Jaccard 0.8) the smallest doc_id stays
 substrings   words of 20-word windows that also start earlier go; documents left without words go
 mixing       words of the domains are brought to target weights; documents with no copy go
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from logmere.llm import op4_recompression, op5_sentencepiece, op6_jaccard, op7_language_id, op8_mixing
 from logmere.llm._common import written
 
-#: Below this the languages' scores hardly differ.
-LEAST_SCORE = 0.27
+#: Texts whose raw response is less than this ahead of the next language's go, however many languages are learned; README has the figures.
+LEAST_MARGIN = 0.25
 #: Near copies share this percentage of their shingles of so many words; op6_jaccard_join itself keeps 3 words and 90.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
@@ -24,7 +24,7 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with a recognised language."""
     found = op7_language_id.identify(docs)
-    return found.where((F.col("__lang") != op7_language_id.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    return found.where((F.col("__lang") != op7_language_id.UNKNOWN) & (F.col("__margin") >= LEAST_MARGIN)).select(*docs.columns)
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

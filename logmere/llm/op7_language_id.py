@@ -76,7 +76,7 @@ def fit(sets: list[np.ndarray], labels: list[str]) -> tuple[list[str], np.ndarra
     """Languages in order, and a weight for each hashed gram and language."""
     names = sorted(set(labels))
     turn: dict[str, int] = {}
-    rank = [turn.setdefault(y, 0) or turn.__setitem__(y, turn[y] + 1) or turn[y] for y in labels]
+    rank = [turn.__setitem__(y, turn.get(y, 0) + 1) or turn[y] for y in labels]
     chosen = sorted(range(len(sets)), key=lambda i: (rank[i], labels[i]))[:LANDMARKS]  # languages by turns
     marks = [sets[i] for i in chosen]
     values, vectors = np.linalg.eigh(kernel(marks, marks))
@@ -114,6 +114,14 @@ def training(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[lis
     return [s for lang in sorted(kept) for s in kept[lang]], [lang for lang in sorted(kept) for _ in kept[lang]]
 
 
+def margin(f: np.ndarray) -> np.ndarray:
+    """The best response of each row less the next one; the response itself where there is one."""
+    if f.shape[1] == 1:
+        return f[:, 0]
+    top = np.partition(f, -2, axis=1)
+    return top[:, -1] - top[:, -2]
+
+
 def hash_of(ident: str | None) -> int:
     import zlib
 
@@ -126,9 +134,10 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """All columns of docs, with __lang and __score (0 to 1).
+    """All columns of docs, with __lang, __score (0 to 1) and __margin: the raw response of the best language less
+    that of the next one, or the response itself where one language is learned.
 
-    Learns only from rows that are not held out and have a language and a text. `und` with score 0 for a null text,
+    Learns only from rows that are not held out and have a language and a text. `und` with score and margin 0 for a null text,
     a text without letters, or when there is nothing to learn from. Repeated rows get equal results; an empty table gives one.
     """
     spark = docs.sparkSession
@@ -141,7 +150,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         names, weights = shared.value
         for b in chunks(batches, "__text"):
             sets = [grams(t) if t else np.zeros(0, np.int64) for t in b.column("__text").to_pylist()]
-            langs, scores = [UNKNOWN] * len(sets), [0.0] * len(sets)
+            langs, scores, margins = [UNKNOWN] * len(sets), [0.0] * len(sets), [0.0] * len(sets)
             full = [i for i, s in enumerate(sets) if len(s)]
             if full and names:
                 at = np.cumsum([0, *[len(sets[i]) for i in full[:-1]]])
@@ -149,13 +158,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 f = np.add.reduceat(weights[np.concatenate([sets[i] for i in full])], at, axis=0, dtype=np.float64) / size
                 e = np.exp(SHARPNESS * (f - f.max(1, keepdims=True)))
                 p = e / e.sum(1, keepdims=True)
-                for i, k, row in zip(full, p.argmax(1).tolist(), p, strict=True):
-                    langs[i], scores[i] = names[k], float(row[k])
-            yield pa.RecordBatch.from_arrays([b.column("__rest"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["__rest", "__lang", "__score"])
+                for i, k, row, m in zip(full, p.argmax(1).tolist(), p, margin(f).tolist(), strict=True):
+                    langs[i], scores[i], margins[i] = names[k], float(row[k]), m
+            yield pa.RecordBatch.from_arrays([b.column("__rest"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())], names=["__rest", "__lang", "__score", "__margin"])
 
     table = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__rest"))
     rest = table.schema["__rest"].dataType.simpleString()
-    return table.mapInArrow(score, f"__rest {rest}, __lang string, __score double").select("__rest.*", "__lang", "__score")
+    return table.mapInArrow(score, f"__rest {rest}, __lang string, __score double, __margin double").select("__rest.*", "__lang", "__score", "__margin")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

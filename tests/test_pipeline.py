@@ -74,3 +74,37 @@ def test_near_dups(spark):
     assert in_order(x[:] for x in got) == in_order(kept_of_near(rows))
     assert 2 not in {x[0] for x in got}
     assert kept_of_near(rows) != kept_of_near(rows, 3, 90)  # the fixture tells the rules apart
+
+
+SYLLABLES = {"aa": ["ka", "ro", "mi", "ne", "lo", "ta"], "bb": ["sch", "ung", "ei", "ter", "ver", "ich"], "cc": ["ção", "lhe", "qua", "zi", "ju", "dor"]}
+
+
+def prose(r, lang, n):
+    return " ".join("".join(r.choice(SYLLABLES[lang]) for _ in range(r.randrange(1, 4))) for _ in range(n))
+
+
+def junk(r):
+    """Uniform letters, or letters of another script."""
+    letters = r.choice(["abcdefghijklmnopqrstuvwxyz    ", "абвгдежзийклмнопрстуфхцчшщыьэюя    "])
+    return "".join(r.choice(letters) for _ in range(r.choice([60, 300, 1500])))
+
+
+@pytest.mark.parametrize("langs", [["aa"], ["aa", "bb"], ["aa", "bb", "cc"]])
+def test_language(spark, langs):
+    """Clean texts stay; junk goes however many languages are learned, and so do texts without letters."""
+    r = random.Random(len(langs))
+    clean = [(i, prose(r, lang, r.choice([20, 60, 200])), lang if i % 5 else None) for i, lang in enumerate(langs * 40)]
+    bad = [(1000 + i, junk(r), None) for i in range(30)] + [(2000, None, None), (2001, "", "aa"), (2002, "12 !", None)]
+    docs = spark.createDataFrame([(i, t, lang, "src0", len(t or "")) for i, t, lang in clean + bad], COLUMNS)
+    got = sorted(x[:] for x in P.language(spark, docs, "").select("doc_id", "text").collect())
+    assert got == [(i, t) for i, t, _ in clean]
+
+
+def test_landmarks_of_every_language():
+    from logmere.llm import op7_language_id as L
+
+    r = random.Random(2)
+    labels = ["aa"] * 300 + ["bb"] * 30
+    sets = [L.grams(prose(r, lang, 30)) for lang in labels]
+    _, weights = L.fit(sets, labels)
+    assert (weights[sets[-1]] != 0).any(1).all()
