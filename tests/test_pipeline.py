@@ -108,3 +108,87 @@ def test_landmarks_of_every_language():
     sets = [L.grams(prose(r, lang, 30)) for lang in labels]
     _, weights = L.fit(sets, labels)
     assert (weights[sets[-1]] != 0).any(1).all()
+
+
+def without_repeats(rows, window=20):
+    """Texts without the words of windows that also start earlier, in order of id; a text that lost all its words goes."""
+    seen, out = set(), []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        w, gone = words_of(t), set()
+        for a in range(len(w) - window + 1):
+            if (k := tuple(w[a : a + window])) in seen:
+                gone |= set(range(a, a + window))
+            seen.add(k)
+        if not gone:
+            out.append((i, t))
+        elif len(gone) < len(w):
+            out.append((i, " ".join(x for n, x in enumerate(w) if n not in gone)))
+    return out
+
+
+def repeating(r, second="bb"):
+    """Texts that share passages with earlier ones, begin, middle and end; a passage twice in one text; a copy; short texts."""
+    passage, other = prose(r, "aa", 25), prose(r, second, 40)
+    parts = [(prose(r, "aa", 30), passage), (passage, prose(r, second, 9)), (prose(r, "aa", 7), passage, "  \n", other), (other, prose(r, "aa", 3), other), (passage,), (passage.rsplit(" ", 6)[0],), ("so  short",)]
+    return [(10 + n, " ".join(p)) for n, p in enumerate(parts)]
+
+
+def test_substrings(spark):
+    rows = [*repeating(random.Random(5)), (90, None), (91, " "), (None, prose(random.Random(6), "aa", 30))]
+    out = P.substrings(spark, table(spark, rows), "").collect()
+    want = in_order(without_repeats(rows))
+    assert in_order((x["doc_id"], x["text"]) for x in out) == want
+    assert all(x["n_chars"] == (None if x["text"] is None else len(x["text"])) for x in out)
+    assert len(want) < len(rows) and want != in_order(rows)
+
+
+def test_mixing(spark, tmp_path):
+    """Three vocabularies, all labelled: good ones once, toxic ones never, plain ones up to their share of the words."""
+    r = random.Random(8)
+    kinds = {"good": ("aa", 1, 0, 60), "plain": ("bb", 0, 0, 30), "toxic": ("cc", 0, 1, 20)}
+    rows, labels, kind_of = [], [], {}
+    for kind, (lang, quality, toxic, n) in kinds.items():
+        for _ in range(n):
+            i = len(rows)
+            rows.append((i, prose(r, lang, 50)))
+            labels.append((i, quality, toxic))
+            kind_of[i] = kind
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = [x[:] for x in P.mixing(spark, table(spark, rows), str(tmp_path)).select("doc_id", "text").collect()]
+    assert set(got) <= set(rows)
+    copies = {i: sum(x[0] == i for x in got) for i in kind_of}
+    rate = (0.3 / 0.7 * 60) / 30  # all texts are of 50 words
+    assert {copies[i] for i in kind_of if kind_of[i] == "toxic"} == {0}
+    assert {copies[i] for i in kind_of if kind_of[i] == "good"} <= {0, 1, 2} and abs(sum(copies[i] for i in kind_of if kind_of[i] == "good") - 60) <= 4
+    assert abs(sum(copies[i] for i in kind_of if kind_of[i] == "plain") - 30 * rate) <= 8
+
+
+def token_row(model, i, t):
+    import hashlib
+
+    import numpy as np
+
+    return (i, len(ids := model.encode(t)), hashlib.sha256(np.array(ids, np.int32).tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_run(spark, tmp_path):
+    """All stages: the documents and texts that plain Python keeps, encoded. Without labels mixing keeps each document once."""
+    import sentencepiece
+
+    r = random.Random(9)
+    rows = [(i, prose(r, lang, 120)) for i, lang in enumerate(["aa", "bb"] * 30)]
+    for i in range(60, 80):  # near copies
+        words = rows[i - 60][1].split()
+        words[20], words[90] = words[0], words[1]
+        rows.append((i, " ".join(words)))
+    rows += [(i + 100, t) for i, t in repeating(r, "aa")[:5]]
+    bad = [(1000 + i, junk(r)) for i in range(10)] + [(2000, None), (2001, "12 !")]
+    docs = spark.createDataFrame([(i, t, lang, "src0", len(t or "")) for i, t, lang in [*((i, t, "ab"[i % 2] * 2 if i < 60 else None) for i, t in rows), *((i, t, None) for i, t in bad)]], COLUMNS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = without_repeats(kept_of_near(rows))
+    assert {i for i, _ in kept} & set(range(60, 80)) == set() and kept != [x for x in rows if x[0] in dict(kept)]
+    model = sentencepiece.SentencePieceProcessor(model_file=P.op5_sentencepiece.MODEL)
+    out = P.run(spark, str(tmp_path)).collect()
+    assert sorted((x["doc_id"], x["n_tokens"], x["ids_sha256"], x["decoded_sha256"]) for x in out) == sorted(token_row(model, i, t) for i, t in kept)
+    assert all(x["round_trip"] for x in out)
