@@ -5,10 +5,10 @@ rare to frequent by a fixed-size histogram over all documents; if two sets link,
 share a shingle, so an index list per prefix shingle meets every link.
 
 Set relations: sets with the same least shingle hash under one of four orders form a star; each is compared with
-the star's leader, and all that these links connect takes one label. A list then derives a labelled set's answers from its leader: sets of
-one label are already connected and are skipped, and only pairs across labels are compared. Within a list, sorted
-by size, each set skips in blocks to the sizes it can link with, and drops pairs whose prefix positions leave too
-little overlap or whose parity bits differ in more places than linked sets can.
+the star's leader, and all that these links connect takes one label. Labels only skip pairs that are already connected: every pair across
+labels is compared, and no answer is taken over from a leader's. Within a list, sorted by size and position, each set
+skips in blocks to the sizes it can link with, and within each size to the prefix positions that leave enough overlap;
+pairs go whose parity bits differ in more places than linked sets can.
 """
 
 from __future__ import annotations
@@ -142,7 +142,7 @@ def parity(s: np.ndarray) -> np.ndarray:
 
 def list_pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray, sketch: np.ndarray, percent: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs of index lists: equal tokens, different labels; sizes, positions and parities that can link."""
-    order = np.lexsort((sid, n, token))
+    order = np.lexsort((sid, pos, n, token))
     token, sid, n, pos, label, sketch = (x[order] for x in (token, sid, n, pos, label, sketch))
     new = np.append(True, token[1:] != token[:-1]) if len(token) else np.zeros(0, bool)
     group = np.cumsum(new) - 1
@@ -153,24 +153,42 @@ def list_pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarra
         return
     sid, n, pos, label, group, sketch = (x[live] for x in (sid, n, pos, label, group, sketch))
     # sizes are sorted within a list: skip to the end of those that can link
-    wide = int(n.max()) + 1
+    wide, tall = int(n.max()) + 1, int(pos.max()) + 1
     key = group * wide + n
     last = np.searchsorted(key, group * wide + np.minimum(n * 100 // percent, wide - 1), "right")
-    count = last - np.arange(len(n)) - 1
-    done = np.cumsum(count)
+    # positions are sorted within a stretch of one size: skip to the end of those that leave enough overlap
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    stretch = np.searchsorted(first, np.arange(len(n)), "right") - 1
+    place = stretch * tall + pos
+    spans = stretch[last - 1] - stretch + 1
+    done = np.cumsum(spans)
     start = 0
     while start < len(n):
-        base = done[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(done, base + most, "right")))
-        for lo in range(0, int(count[start]) if stop == start + 1 else 1, most):  # one long list at a time
-            c = count[start:stop] if stop > start + 1 else np.minimum(count[start:stop] - lo, most)
-            i = np.repeat(np.arange(start, stop), c)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + i + 1 + lo
+        stop = max(start + 1, int(np.searchsorted(done, (done[start - 1] if start else 0) + most, "right")))
+        c = spans[start:stop]
+        i = np.repeat(np.arange(start, stop), c)
+        s = stretch[i] + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        size = n[first[s]]
+        need = -(-(n[i] + size) * percent // (100 + percent))
+        lo = np.maximum(first[s], i + 1)
+        count = np.searchsorted(place, s * tall + np.minimum(1 + size - need, tall - 1), "right") - lo
+        ok = (count > 0) & (1 + n[i] - pos[i] >= need)
+        yield from _met(i[ok], lo[ok], count[ok], sid, n, label, sketch, percent, most)
+        start = stop
+
+
+def _met(left: np.ndarray, lo: np.ndarray, count: np.ndarray, sid: np.ndarray, n: np.ndarray, label: np.ndarray, sketch: np.ndarray, percent: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of left[x] with the count[x] rows from lo[x] on; at most `most` at a time."""
+    done = np.cumsum(count)
+    start = 0
+    while start < len(left):
+        stop = max(start + 1, int(np.searchsorted(done, (done[start - 1] if start else 0) + most, "right")))
+        for skip in range(0, int(count[start]) if stop == start + 1 else 1, most):  # one long stretch at a time
+            c = count[start:stop] if stop > start + 1 else np.minimum(count[start:stop] - skip, most)
+            i = np.repeat(left[start:stop], c)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[start:stop], c) + skip
             ok = label[i] != label[j]
             i, j = i[ok], j[ok]
-            need = -(-(n[i] + n[j]) * percent // (100 + percent))
-            ok = 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
-            i, j = i[ok], j[ok]
             apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1)  # no more than the sets' difference
             ok = apart <= (n[i] + n[j]) * (100 - percent) // (100 + percent)
             i, j = i[ok], j[ok]
