@@ -23,6 +23,9 @@ SEGMENT, INFO, TIME_SCALE, MUXER, WRITER = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4
 TRACKS, TRACK, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC, AUDIO, RATE, CHANNELS, DEPTH = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, CUE_POINT, CUE_TIME, CUE_PLACE, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+DEFAULT_DURATION, BLOCK_DURATION = 0x23E383, 0x9B
+#: Children of a segment (the others: seek head, tags, chapters, attachments); each ends a cluster of unknown size.
+TOP = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469}
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 
 FRAME = 192  # samples, 24 ms at 8 kHz
@@ -103,18 +106,34 @@ def read_vint(data: memoryview, at: int) -> tuple[int, int]:
     return int.from_bytes(data[at : at + width], "big") & (1 << 7 * width) - 1, width
 
 
+def header(data: memoryview, at: int) -> tuple[int, int, int | None]:
+    """Identifier, start of the body and size of the element at `at`; None for an unknown size."""
+    width = 9 - data[at].bit_length()
+    if width > 4:
+        raise ValueError(f"no valid identifier at {at}")
+    size, wide = read_vint(data, at + width)
+    return int.from_bytes(data[at : at + width], "big"), at + width + wide, None if size == (1 << 7 * wide) - 1 else size
+
+
+def unknown_end(data: memoryview, ident: int, at: int, end: int) -> int:
+    """Where an element of unknown size ends whose body starts at `at`: before what cannot be inside it, or with its parent."""
+    ends = {EBML, SEGMENT} | (set() if ident == SEGMENT else TOP)
+    while at < end:
+        k, body, size = header(data, at)
+        if k in ends:
+            return at
+        at = unknown_end(data, k, body, end) if size is None else body + size
+    return at
+
+
 def elements(data: memoryview, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
     """(identifier, where it begins, start and end of its body) of each element of a stretch."""
     while at < end:
-        width = 9 - data[at].bit_length()
-        if width > 4:
-            raise ValueError(f"no valid identifier at {at}")
-        size, wide = read_vint(data, at + width)
-        body = at + width + wide
-        stop = end if size == (1 << 7 * wide) - 1 else body + size
+        ident, body, size = header(data, at)
+        stop = unknown_end(data, ident, body, end) if size is None else body + size
         if stop > end:
             raise ValueError(f"the element at {at} ends beyond its parent")
-        yield int.from_bytes(data[at : at + width], "big"), at, body, stop
+        yield ident, at, body, stop
         at = stop
 
 
@@ -144,6 +163,18 @@ def write_matroska(payload: bytes) -> bytes:
     return head + element(SEGMENT, b"".join([*parts, element(CUES, b"".join(points))]))
 
 
+def timing(data: memoryview, entry: dict[int, tuple[int, int]]) -> tuple[int, int]:
+    """(nanoseconds of a frame or 0, bits a second of PCM samples or 0) of a track's elements."""
+    number_of = lambda e, k, other: int.from_bytes(data[slice(*e[k])], "big") if k in e else other
+    bits = 0
+    if bytes(data[slice(*entry[CODEC])]).startswith(b"A_PCM/") and AUDIO in entry:
+        audio = {k: (p, q) for k, _, p, q in elements(data, *entry[AUDIO])}
+        rate = bytes(data[slice(*audio[RATE])]) if RATE in audio else b""
+        hertz = struct.unpack(">d" if len(rate) == 8 else ">f", rate)[0] if rate else 8000.0
+        bits = round(hertz * number_of(audio, CHANNELS, 1) * number_of(audio, DEPTH, 0))
+    return number_of(entry, DEFAULT_DURATION, 0), bits
+
+
 def parse_matroska(raw: bytes) -> dict:
     """{'tracks': {number: codec}, 'packets': int64 array (track, time ms, offset, size), 'cues': [(time, track, cluster)]}; raises ValueError on a broken file."""
     data = memoryview(raw)
@@ -153,7 +184,7 @@ def parse_matroska(raw: bytes) -> dict:
         raise ValueError("not a header and one segment")
     if bytes(next(data[a:b] for i, _, a, b in elements(data, *top[0][2:]) if i == DOC_TYPE)) != b"matroska":
         raise ValueError("another document type")
-    base, scale, tracks, packets, cues, clusters = top[1][2], 1_000_000, {}, [], [], {}
+    base, scale, tracks, packets, cues, clusters, times = top[1][2], 1_000_000, {}, [], [], {}, {}
     for i, begin, a, b in elements(data, *top[1][2:]):
         if i == INFO:
             scale = next((number_at(x, y) for k, _, x, y in elements(data, a, b) if k == TIME_SCALE), scale)
@@ -161,18 +192,26 @@ def parse_matroska(raw: bytes) -> dict:
             for _, _, x, y in elements(data, a, b):
                 entry = {k: (p, q) for k, _, p, q in elements(data, x, y)}
                 tracks[number_at(*entry[TRACK_NUMBER])] = bytes(data[slice(*entry[CODEC])]).decode()
+                times[number_at(*entry[TRACK_NUMBER])] = timing(data, entry)
         elif i == CLUSTER:
             time = 0
             for k, _, x, y in elements(data, a, b):
                 if k == CLUSTER_TIME:
                     time = clusters[begin - base] = number_at(x, y)
                 elif k in (SIMPLE_BLOCK, BLOCK_GROUP):
+                    whole = 0
                     if k == BLOCK_GROUP:
-                        x, y = next((p, q) for j, _, p, q in elements(data, x, y) if j == BLOCK)
+                        group = {j: (p, q) for j, _, p, q in elements(data, x, y)}
+                        x, y = group[BLOCK]
+                        whole = number_at(*group[BLOCK_DURATION]) * scale if BLOCK_DURATION in group else 0
                     track, wide = read_vint(data, x)
                     relative, flags = struct.unpack_from(">hB", data, x + wide)
-                    for n, (at, size) in enumerate(unlace(data, x + wide + 3, y, flags >> 1 & 3)):
-                        packets.append((track, (time + relative) * scale // 1_000_000 + n * FRAME_MS, at, size))
+                    frames = unlace(data, x + wide + 3, y, flags >> 1 & 3)
+                    each, bits = times.get(track, (0, 0))
+                    for n, (at, size) in enumerate(frames):
+                        # later frames of a block: by the track's duration, the block's, or the PCM samples before; else at the block's time
+                        after = n * each if each else n * whole // len(frames) if whole else (at - frames[0][0]) * 8_000_000_000 // bits if bits else 0
+                        packets.append((track, ((time + relative) * scale + after) // 1_000_000, at, size))
         elif i == CUES:
             for _, _, x, y in elements(data, a, b):
                 point = {k: (p, q) for k, _, p, q in elements(data, x, y)}
