@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logmere.session import written
+
+from . import ordered
 from .changelog import quorum
 
 #: A node may read when its lag is at most this; a dead node is removed after so many seconds.
@@ -82,6 +85,10 @@ def clusters_match(a: Column, b: Column) -> Column:
 
 
 def round_robin(requests: DataFrame, m: DataFrame, seq: str, most: int = MOST_LAG) -> DataFrame:
-    """Requests with the reader whose turn it is. The readers travel as one sorted array."""
-    pool = healthy_readers(m, most).agg(F.sort_array(F.collect_list("id")).alias("pool"))
-    return requests.join(F.broadcast(pool)).withColumn("id", F.get("pool", F.pmod(F.col(seq), F.nullif(F.size("pool").cast("long"), F.lit(0))).cast("int"))).drop("pool")
+    """Requests with the reader whose turn it is. Readers are numbered in order of id, in buckets, and join by number."""
+    pool = healthy_readers(m, most).where("id IS NOT NULL").select("id").repartitionByRange("id").sortWithinPartitions("id")
+    fixed = written(pool.withColumn("__at", F.monotonically_increasing_id()))  # range borders are sampled anew in each run
+    turns = ordered.numbered(fixed, [], "__at", "__turn").select("id", (F.col("__turn") - 1).alias("__turn"))
+    size = fixed.agg(F.nullif(F.count(F.lit(1)), F.lit(0)).alias("__readers"))
+    asked = requests.join(F.broadcast(size)).withColumn("__turn", F.pmod(F.col(seq), F.col("__readers")))  # one row
+    return asked.join(turns, "__turn", "left").select(*requests.columns, "id")
