@@ -18,16 +18,30 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 
 
+#: Bytes of an Arrow batch, where the session sets none: long texts come in small batches.
+BATCH_BYTES = 16 << 20
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches bounded in bytes as well as in rows."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def partitions(spark: SparkSession) -> int:
+    bounded(spark)
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; where the session names none, a temporary one in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
+    if sc.getCheckpointDir() is None and not (sc.master or "").startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="logmere-"))
     return sc.getCheckpointDir()
@@ -115,7 +129,7 @@ class _Ids(dict):
 class Words:
     """Words of a text are maximal runs of bytes other than 20 and 09-0D; each gets two 64-bit hashes, without the bytes of `strip` at its ends. The cache is bounded."""
 
-    def __init__(self, lower: bool = False, most: int = 1 << 20, strip: bytes = b""):
+    def __init__(self, lower: bool = False, most: int = 1 << 18, strip: bytes = b""):
         self.lower, self.most, self.strip = lower, most, strip
         self.clear()
 
