@@ -28,9 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates. A document with a null id stays."""
-    groups = op6_jaccard.near_groups(docs, k=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    """Keep one row of each group of near-duplicates, told apart by id and text. A document with a null id stays."""
+    return op6_jaccard.without_near(docs, k=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
