@@ -340,11 +340,11 @@ def jaccard_links(near: DataFrame, percent: int = PERCENT) -> DataFrame:
             names = np.stack([label[i], label[j]], 1)[~close]
             open_.append(np.unique(np.concatenate([pair, names], 1), axis=0) if len(pair) else pair)
         node, root = forest(*np.concatenate(sure).T)
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array([True] * len(node))], names=["a", "b", "sure"])
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64()), pa.array([True] * len(node), pa.bool_())], names=["a", "b", "sure"])
         root_of = lambda x: np.where(np.isin(x, node), root[np.minimum(np.searchsorted(node, x), len(node) - 1)], x) if len(node) else x
         for p in (p for p in open_ if len(p)):
             p = p[root_of(p[:, 2]) != root_of(p[:, 3])]
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array([False] * len(p))], names=["a", "b", "sure"])
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array([False] * len(p), pa.bool_())], names=["a", "b", "sure"])
 
     pairs = written(rows.repartition(parts, "token", "one", "two").mapInArrow(meet, "a long, b long, sure boolean").distinct(), "pairs")
     compared = distances(pairs.where("NOT sure").select("a", "b"), sets, percent).where("linked")
