@@ -5,9 +5,11 @@ window around every query's value gives its collisions; a pair that collides in
 verified by its cosine in double precision. `needed` is calibrated: the largest count that keeps the wanted recall
 on simulated pairs exactly at the threshold.
 
-Blocks hold a bounded number of vectors. They are cells of two further projections, cut at quantiles and split by
-a hash where a cell is crowded; block pairs that lie farther apart than linked vectors can (at the recall) are
-skipped. Tasks report link counts and spanning stars, never all pairs.
+Blocks come from coarse projections as well: in each of several tables, a vector's block is the side it lies on in a few
+further directions. The number of directions follows the number of vectors, so that blocks stay near BLOCK, and the number of
+tables follows from it at the wanted recall; so each vector is in as many blocks as there are tables, and rows grow
+nearly with the input (a power of 1.15 at 0.95), not with its square. Crowded blocks meet part by part. A pair counts in the first table where it
+shares a block. Tasks report link counts and spanning stars, never all pairs. Vectors meet those of their own length.
 """
 
 from __future__ import annotations
@@ -20,17 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import partitions, written
+from ._common import bounded, partitions, written
 from ._graph import components, forest
 
 THRESHOLD = 0.95
 PROJECTIONS, WINDOW, RECALL = 32, 0.25, 0.9995
-BLOCK = 2048
+BLOCK = 1024
 #: Queries counted together, so that their counts stay in a core's cache.
 STRIPE = 32
-CELL_DIRECTIONS = 2
-#: Linked vectors differ by at most so many standard deviations in a cell direction.
-REACH = 4.5
 
 
 @cache
@@ -94,13 +93,28 @@ def block_links(x: np.ndarray, y: np.ndarray, same: bool, threshold: float) -> t
     return i[keep], j[keep]
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+def tables(total: int, threshold: float, block: int = BLOCK, recall: float = RECALL) -> tuple[int, int]:
+    """(bits, tables) for so many vectors: sides that name a block, and tables so that a pair at the threshold shares a block of one."""
+    bits = max(0, int(np.ceil(np.log2(max(1, total) / block))))
+    same = (1 - np.arccos(min(1.0, max(-1.0, threshold))) / np.pi) ** bits
+    return bits, 1 if same > 1 - 1e-12 else int(np.ceil(np.log(1 - recall) / np.log(1 - same)))
+
+
+def sides(x: np.ndarray, bits: int, count: int) -> np.ndarray:
+    """The block of each unit vector in each table, as (rows, count) numbers."""
+    if not bits:
+        return np.zeros((len(x), count), np.int64)
+    up = x @ np.random.default_rng(13).standard_normal((x.shape[1], bits * count)) > 0
+    return (up.reshape(len(x), count, bits).astype(np.int64) << np.arange(bits)).sum(2)
+
+
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row.
 
-    Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing; so do vectors of
-    another length than the most frequent one's. Repeated rows link with each other. An empty table gives one.
+    Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing. Vectors of every length take
+    part; those of unlike lengths don't link. Repeated rows link with each other. Other columns are ignored. An empty table gives one.
     """
-    spark = vectors.sparkSession
+    spark = bounded(vectors.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -112,59 +126,57 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(out, pa.binary())], names=["vec_id", "x"])
 
     packed = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("v")).mapInArrow(pack, "vec_id long, x binary")
-    table = written(packed.withColumn("uid", F.monotonically_increasing_id()), "vectors")
-    sizes = table.where("x IS NOT NULL").groupBy(F.octet_length("x").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    dim = sizes[0]["size"] // 8 if sizes else 1
-    total = sizes[0]["count"] if sizes else 0
-    a = directions(dim, CELL_DIRECTIONS, 13)
+    table = written(packed.withColumn("name", F.unhex(F.md5("x"))), "vectors")
+    # Equal vectors are one node with a weight, so a vector that a third of all rows hold is compared once.
+    nodes = table.where("x IS NOT NULL").groupBy("name").agg(F.first("x").alias("x"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
+    nodes = written(nodes.withColumn("uid", F.monotonically_increasing_id()), "nodes")
+    # Of d lengths, the vectors hold d^2 / 2 components at least: few, whatever the corpus.
+    shape = {r["dim"]: tables(r["count"], threshold, block) for r in nodes.groupBy((F.octet_length("x") / 8).cast("int").alias("dim")).count().collect()}
 
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = unit(b.column("x").to_pylist()) @ a if b.num_rows else np.zeros((0, CELL_DIRECTIONS))
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("n"), b.column("x"), *[pa.array(p[:, k]) for k in range(CELL_DIRECTIONS)]], names=["uid", "n", "x", *[f"p{k}" for k in range(CELL_DIRECTIONS)]])
-
-    # Equal vectors are one node with a weight, so a vector that a third of all rows hold is compared once.
-    nodes = written(table.where(F.octet_length("x") == 8 * dim).groupBy("x").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least")), "nodes")
-    placed = nodes.select("uid", "n", "x").mapInArrow(project, "uid long, n long, x binary, " + ", ".join(f"p{k} double" for k in range(CELL_DIRECTIONS)))
-    cuts = max(1, int(np.ceil((total / BLOCK) ** (1 / CELL_DIRECTIONS))))
-    at = [placed.approxQuantile(f"p{k}", [j / cuts for j in range(1, cuts)], 0.01) if cuts > 1 and total else [] for k in range(CELL_DIRECTIONS)]
-    cell = F.lit(0)
-    for k in range(CELL_DIRECTIONS):
-        place = F.lit(0)
-        for c in sorted(set(at[k])):
-            place = place + (F.col(f"p{k}") > c).cast("int")
-        cell = cell * cuts + place
-    celled = placed.withColumn("cell", cell)
-    reach = REACH * np.sqrt(2 - 2 * threshold)
-    bounds = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("splits"), *[f(f"p{k}").alias(f"{n}{k}") for k in range(CELL_DIRECTIONS) for n, f in (("lo", F.min), ("hi", F.max))])
-    blocks = bounds.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
-    l, r = blocks.alias("l"), blocks.alias("r")  # a row for each block, not each vector
-    near = (F.col("l.cell") < F.col("r.cell")) | ((F.col("l.cell") == F.col("r.cell")) & (F.col("l.split") <= F.col("r.split")))
-    for k in range(CELL_DIRECTIONS):
-        near = near & (F.col(f"l.lo{k}") <= F.col(f"r.hi{k}") + reach) & (F.col(f"r.lo{k}") <= F.col(f"l.hi{k}") + reach)
-    tiles = l.join(r, near).select(F.col("l.cell").alias("c1"), F.col("l.split").alias("s1"), F.col("r.cell").alias("c2"), F.col("r.split").alias("s2"))
-    sides = tiles.select(F.col("c1").alias("cell"), F.col("s1").alias("split"), "c1", "s1", "c2", "s2", F.lit(0).alias("side")).union(tiles.where("c1 <> c2 OR s1 <> s2").select("c2", "s2", "c1", "s1", "c2", "s2", F.lit(1)))
-    rows = celled.join(bounds.select("cell", "splits"), "cell").withColumn("split", F.pmod(F.xxhash64("uid"), F.col("splits")).cast("int")).join(sides, ["cell", "split"])
-
-    def tile(key, t):  # two blocks at most
-        side, uid, n = t.column("side").to_numpy(), t.column("uid").to_numpy(), t.column("n").to_numpy()
+            uid, raw = b.column("uid").to_numpy(), b.column("x").to_pylist()
+            dims = np.array([len(r) // 8 for r in raw], np.int64)
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                codes = sides(unit([raw[i] for i in at]), *shape[int(dim)])
+                turn = np.tile(np.arange(codes.shape[1], dtype=np.int32), len(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(uid[at], codes.shape[1])), pa.array(np.full(codes.size, dim, np.int32)), pa.array(turn), pa.array(codes.reshape(-1))], names=["uid", "dim", "turn", "code"])
+
+    cell = ["dim", "turn", "code"]
+    light = written(nodes.select("uid", "x").mapInArrow(place, "uid long, dim int, turn int, code long"), "places")
+    shared = written(light.groupBy(*cell).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(*cell, F.ceil(F.col("m") / (2 * block)).cast("int").alias("splits")), "blocks")
+    part = F.pmod(F.xxhash64("uid"), F.col("splits")).cast("int")
+    tiles = light.join(shared, cell).select("uid", *cell, part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("other"))
+    tiles = tiles.select("uid", *cell, "part", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
+    rows = tiles.join(nodes.select("uid", "n", "x"), "uid")
+
+    def tile(key, t):  # two parts of a block at most
+        turn, one, two = key[1].as_py(), key[3].as_py(), key[4].as_py()
+        part, uid, n = t.column("part").to_numpy(), t.column("uid").to_numpy(), t.column("n").to_numpy()
         x = unit(t.column("x").to_pylist())
-        first = np.flatnonzero(side == 0)
-        second = np.flatnonzero(side == 1) if key[0] != key[2] or key[1] != key[3] else first
+        first = np.flatnonzero(part == one)
+        second = np.flatnonzero(part == two) if one != two else first
         i, j = block_links(x[first], x[second], second is first, threshold) if len(first) and len(second) else (first[:0], first[:0])
         i, j = first[i], second[j]
+        if turn and len(i):
+            codes = sides(x, *shape[x.shape[1]])[:, :turn]
+            new = np.concatenate([~(codes[i[s : s + 4096]] == codes[j[s : s + 4096]]).any(1) for s in range(0, len(i), 4096)])
+            i, j = i[new], j[new]
         node, root = forest(uid[i], uid[j])
         links = np.bincount(np.searchsorted(node, np.concatenate([uid[i], uid[j]])), np.concatenate([n[j], n[i]]), len(node)).astype(np.int64)
         return pa.Table.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64()), pa.array(links, pa.int64())], names=["uid", "root", "links"])
 
-    found = rows.select("c1", "s1", "c2", "s2", "side", "uid", "n", "x").repartition(partitions(spark), "c1", "s1", "c2", "s2").groupBy("c1", "s1", "c2", "s2").applyInArrow(tile, "uid long, root long, links long")
+    group = [*cell, "one", "two"]
+    found = rows.select(*group, "part", "uid", "n", "x").repartition(partitions(spark), *group).groupBy(*group).applyInArrow(tile, "uid long, root long, links long")
     found = written(found, "links")
     counts = found.groupBy("uid").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("uid").alias("u"), F.col("root").alias("v")))
-    facts = nodes.join(roots.withColumnRenamed("node", "uid"), "uid", "left").join(counts, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    least = facts.groupBy("root").agg(F.min("least").alias("component_id"))
-    facts = facts.join(least, "root").select("x", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"))
-    out = table.where("x IS NOT NULL").join(facts, "x", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    facts = nodes.select("name", "uid", "n", "least").join(roots.withColumnRenamed("node", "uid"), "uid", "left").join(counts, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    facts = written(facts, "facts")
+    least = written(facts.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    facts = written(facts.join(least, "root").select("name", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links")), "answers")
+    out = table.where("x IS NOT NULL").join(facts, "name").select("vec_id", "n_links", "component_id")
     out = out.union(table.where("x IS NULL").select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

@@ -49,3 +49,34 @@ def test_recall_of_a_block():
     want = {tuple(p) for p in np.argwhere(x @ y.T >= 0.95)}
     got = set(zip(i.tolist(), j.tolist()))
     assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 100
+
+
+def test_every_length_and_table(spark):
+    """Links among vectors of one length only; many tables and crowded blocks give what one block gives."""
+    r = np.random.default_rng(8)
+    rows = []
+    for dim, m in ((16, 60), (5, 30), (1, 3)):
+        base = r.standard_normal((m // 3, dim))
+        rows += [(len(rows) + i, (base[i % len(base)] + 0.03 * r.standard_normal(dim)).tolist()) for i in range(m)]
+    rows += [(900, rows[0][1][:5]), (901, None)]
+    df = spark.createDataFrame([(*x, 0.5) for x in rows], "vec_id long, embedding array<double>, n double")
+    want = []
+    for dim in (16, 5, 1):
+        want += brute([x for x in rows if x[1] and len(x[1]) == dim])
+    for block in (2048, 8):
+        got = near_vectors(df, block=block)
+        assert sorted(x[:4] for x in got.select("vec_id", "n_links", "component_id", "kept").collect()) == sorted([*want, (901, 0, 901, True)])
+
+
+def test_tables_keep_the_recall():
+    """Of pairs exactly at the threshold nearly all share a block of some table."""
+    from logmere.llm.op2_collisions import sides, tables
+
+    r = np.random.default_rng(3)
+    x, y = (r.standard_normal((4000, 32)) for _ in range(2))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    bits, count = tables(200_000, 0.95)
+    assert bits >= 7 and (sides(x, bits, count) == sides(y, bits, count)).any(1).mean() > 0.99
+    assert tables(10, 0.95) == (0, 1)
