@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import chunks
+from ._common import bounded, chunks
 from .suffix import suffix_array
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Units kept by a worker.
-CACHE = 1 << 19
+#: Characters of the units kept by a worker, each unit counted as OVERHEAD more; longer units than LONG are not kept.
+CACHE, OVERHEAD, LONG = 32 << 20, 150, 1000
 
 
 def unit_pattern(pieces: list[str]) -> str:
@@ -172,19 +172,26 @@ class Encoder:
     """Encodes texts; remembers the units it has met, up to CACHE."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.known = pieces, {}
+        self.pieces, self.known, self.held = pieces, {}, 0
 
     def units(self, text: str) -> list[str]:
         return self.pieces.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def encode(self, texts: list[str]) -> list[bytes]:
         lists = [self.units(t) for t in texts]
-        if len(self.known) > CACHE:
+        if self.held > CACHE:
             self.known.clear()
+            self.held = 0
         fresh = list(dict.fromkeys(u for x in lists for u in x if u not in self.known))
         if fresh:
             self.known.update(zip(fresh, encode_units(fresh, self.pieces), strict=True))
-        return [b"".join(map(self.known.__getitem__, x)) for x in lists]
+        out = [b"".join(map(self.known.__getitem__, x)) for x in lists]
+        for u in fresh:
+            if len(u) > LONG:
+                del self.known[u]
+            else:
+                self.held += len(u) + OVERHEAD
+        return out
 
     def decode(self, lists: list[bytes]) -> list[str]:
         p, ids = self.pieces, np.frombuffer(b"".join(lists), np.int32)
@@ -215,7 +222,7 @@ def load(model: str) -> Pieces:
 
 
 def _broadcast(spark: SparkSession, model: str):
-    return spark.sparkContext.broadcast(load(model))  # a vocabulary, a few MB
+    return bounded(spark).sparkContext.broadcast(load(model))  # a vocabulary, a few MB
 
 
 def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks
+from ._common import bounded, chunks
 
 ORDERS = (2, 3, 4)
 BITS = 18
@@ -130,7 +130,7 @@ def hash_of(ident: str | None) -> int:
 
 def held_out(id_col: str = "doc_id") -> F.Column:
     """Documents that training never sees: crc32 of the id as text is 0 modulo 5. A null id is held out."""
-    return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "utf-8")) % 5 == 0, F.lit(True))
+    return F.coalesce(F.crc32(F.encode(F.col(f"`{id_col}`").cast("string"), "utf-8")) % 5 == 0, F.lit(True))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -140,8 +140,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Learns only from rows that are not held out and have a language and a text. `und` with score and margin 0 for a null text,
     a text without letters, or when there is nothing to learn from. Repeated rows get equal results; an empty table gives one.
     """
-    spark = docs.sparkSession
-    labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    spark = bounded(docs.sparkSession)
+    labelled = docs.where(~held_out(id_col) & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     sets, labels = training(labelled)
     names, weights = fit(sets, labels) if sets else ([], np.zeros((1 << BITS, 0), np.float32))
     shared = spark.sparkContext.broadcast((names, weights))  # 2^18 weights for each language, whatever the corpus

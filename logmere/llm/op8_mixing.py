@@ -8,6 +8,7 @@ pass over the table adds up the domains' expected words, and only that vector re
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from functools import cache
 
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, chunks, written
+from ._common import Words, bounded, chunks, written
 
 DOMAINS = ("good", "plain", "toxic")
 #: Shares of the words; the total makes the first domain's own words its share.
@@ -97,7 +98,7 @@ def posterior(size: np.ndarray, flat: np.ndarray, table: np.ndarray, bias: np.nd
 
 def posteriors(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """All columns of docs, with __n_words and __p (posteriors over DOMAINS). Without usable labels, all weight is on the first domain."""
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
     known = labels.withColumn("__domain", domain()).where("__domain IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("__domain").alias("domain"))
     count = known.count()
     uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
@@ -141,7 +142,7 @@ def rates_after(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
 
 
 def fit_rates(scored: DataFrame, targets: dict[str, float]) -> list[np.ndarray]:
-    """The steps whose rates bring the domains' expected words to the targets."""
+    """The steps whose rates bring the domains' expected words to the targets; warns where ROUNDS steps leave more than TOLERANCE."""
     k = len(DOMAINS)
 
     def totals(steps: list[np.ndarray]) -> np.ndarray:
@@ -189,8 +190,11 @@ def fit_rates(scored: DataFrame, targets: dict[str, float]) -> list[np.ndarray]:
         metric = now[1:] + 1e-3 * np.trace(now[1:]) / k * np.eye(k)  # the gradient in the words' own metric
         steps.append(damping * np.linalg.solve(metric, gap))
         now = totals(steps)
-    if float(np.abs(now[0] - target).sum() / target.sum()) > best:
+    error = float(np.abs(now[0] - target).sum() / target.sum())
+    if error > best:
         steps.pop()
+    if min(error, best) >= TOLERANCE:  # not reachable with nonnegative rates, or not in so many rounds
+        warnings.warn(f"the expected words are off their targets by {min(error, best):.2g} of them after {len(steps)} steps", stacklevel=2)
     return steps
 
 
