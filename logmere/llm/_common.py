@@ -13,6 +13,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: An absent id is treated as the smallest id.
 NULL_ID = -(2**63)
@@ -60,13 +61,32 @@ def ids_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("__id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(f"`{text_col}`").isNull().alias("__null")).alias("__rest"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(f"`{text_col}`").isNull().alias(_null_name(docs.columns))).alias("__rest"),
     )
 
 
-def unpacked(columns: list[str], text_col: str) -> list:
-    """The columns of docs again, from __text and __rest."""
-    return [F.when(~F.col("__rest.__null"), F.col("__text")).alias(c) if c == text_col else F.col(f"__rest.`{c}`").alias(c) for c in columns]
+def _null_name(columns: list[str]) -> str:
+    name = "__null"
+    while name in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def unpacked(columns: list[str], text_col: str, all_columns: list[str]) -> list:
+    """Columns of docs again, from __text and __rest."""
+    null = f"__rest.`{_null_name(all_columns)}`"
+    return [F.when(~F.col(null), F.col("__text")).alias(c) if c == text_col else F.col(f"__rest.`{c}`").alias(c) for c in columns]
+
+
+def with_rest(table: DataFrame, ddl: str) -> StructType:
+    """The schema of __rest as in `table`, whatever its columns' names, and further columns."""
+    return StructType([table.schema["__rest"], *StructType.fromDDL(ddl).fields])
+
+
+def beside(columns: list[str], new: list[str]) -> list:
+    """The columns out of __rest, and new ones; a new one takes the place of an old one of its name."""
+    taken = {c.lower() for c in new}
+    return [F.col(f"__rest.`{c}`").alias(c) for c in columns if c.lower() not in taken] + [F.col(c) for c in new]
 
 
 def bucket_keys(spark: SparkSession, n: int) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, bucket_keys, chunks, cut_by, ids_and_text, mix, opened, partitions, press, unpacked, windows_hash
+from ._common import Words, bucket_keys, chunks, cut_by, ids_and_text, mix, opened, partitions, press, unpacked, windows_hash, with_rest
 from ._shared import MARK_NAMES, MARKS, blobs, gathered_marks, later_copies, packed_marks, shared_keys
 
 WINDOW = 20
@@ -211,9 +211,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([b.column("__rest"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()), *[b.column("__text")] * keep_text], names=["__rest", "__kept", "__n_words", "__n_removed", *["__text"] * keep_text])
 
     # Both uses of the dealt texts take the same columns, so their shuffle is done once.
-    rest = table.schema["__rest"].dataType.simpleString()
-    done = judged.mapInArrow(finish, f"__rest {rest}, __kept string, __n_words long, __n_removed long" + ", __text string" * keep_text)
-    return done.select(*unpacked([c for c in docs.columns if keep_text or c != text_col], text_col), "__kept", "__n_words", "__n_removed")
+    done = judged.mapInArrow(finish, with_rest(table, "__kept string, __n_words long, __n_removed long" + ", __text string" * keep_text))
+    return done.select(*unpacked([c for c in docs.columns if (keep_text or c != text_col) and c.lower() not in ("__kept", "__n_words", "__n_removed")], text_col, docs.columns), "__kept", "__n_words", "__n_removed")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

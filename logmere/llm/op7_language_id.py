@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded, chunks
+from ._common import beside, bounded, chunks, with_rest
 
 ORDERS = (2, 3, 4)
 BITS = 18
@@ -163,8 +163,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             yield pa.RecordBatch.from_arrays([b.column("__rest"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())], names=["__rest", "__lang", "__score", "__margin"])
 
     table = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__rest"))
-    rest = table.schema["__rest"].dataType.simpleString()
-    return table.mapInArrow(score, f"__rest {rest}, __lang string, __score double, __margin double").select("__rest.*", "__lang", "__score", "__margin")
+    return table.mapInArrow(score, with_rest(table, "__lang string, __score double, __margin double")).select(*beside(docs.columns, ["__lang", "__score", "__margin"]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

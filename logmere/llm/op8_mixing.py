@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, bounded, chunks, written
+from ._common import Words, beside, bounded, chunks, with_rest, written
 
 DOMAINS = ("good", "plain", "toxic")
 #: Shares of the words; the total makes the first domain's own words its share.
@@ -130,7 +130,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -
             p = posterior(size, flat, table, bias)
             yield pa.RecordBatch.from_arrays([b.column("__rest"), pa.array(n), pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * len(DOMAINS), p.reshape(-1))], names=["__rest", "__n_words", "__p"])
 
-    return table.mapInArrow(score, f"__rest {table.schema['__rest'].dataType.simpleString()}, __n_words long, __p array<double>").select("__rest.*", "__n_words", "__p")
+    return table.mapInArrow(score, with_rest(table, "__n_words long, __p array<double>")).select(*beside(docs.columns, ["__n_words", "__p"]))
 
 
 def rates_after(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
