@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bucket_keys, cut_by, mix, opened, partitions, press
+from ._common import bucket_keys, cut_by, mix, opened, partitions, press, tidy
 
 #: Keys of a chunk and of a bucket, about.
 CHUNK_KEYS, BUCKET_KEYS = 1 << 20, 1 << 23
@@ -89,6 +89,6 @@ def counted(table: DataFrame, then: Callable[[dict, np.ndarray], pa.RecordBatch
             yield out
 
     filled = table.where(F.octet_length("tokens") > 0)
-    answers = filled.select("chunk", "tokens").mapInArrow(ask, "bucket int, chunk long, place int, high binary, low binary, counts binary").repartition(n, "bucket").mapInArrow(meet, "chunk long, place int, counts binary")
+    answers = filled.select("chunk", "tokens").mapInArrow(tidy(ask), "bucket int, chunk long, place int, high binary, low binary, counts binary").repartition(n, "bucket").mapInArrow(tidy(meet), "chunk long, place int, counts binary")
     both = filled.withColumn("place", F.lit(-1)).unionByName(answers, allowMissingColumns=True)
-    return both.repartition(n, "chunk").sortWithinPartitions("chunk", "place").mapInArrow(gather, schema)
+    return both.repartition(n, "chunk").sortWithinPartitions("chunk", "place").mapInArrow(tidy(gather), schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import tidy, written
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +50,7 @@ def _locally(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
         if have:
             yield stars()
 
-    return edges.mapInArrow(run, "u long, v long")
+    return edges.mapInArrow(tidy(run), "u long, v long")
 
 
 def _settled(e: DataFrame) -> bool:

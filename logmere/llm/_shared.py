@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bucket_keys, chunks, cut_by, mix, opened, partitions, press
+from ._common import bucket_keys, chunks, cut_by, mix, opened, partitions, press, tidy
 
 #: Keys travel as their upper 32 and next 16 bits; the bucket tells some more. A false match only costs a later exact test.
 PACKED = "bucket int, ids binary, ords binary, high binary, low binary"
@@ -102,9 +102,9 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[pa.Array], list[np.ndarray]]
         for k in range(0, len(at), 5000):
             yield pa.RecordBatch.from_arrays([pa.array(ids[at[k : k + 5000]]), pa.array([ords[a:z].tobytes() for a, z in zip(at[k : k + 5000], ends[k : k + 5000], strict=True)], pa.binary())], names=["__id", "ords"])
 
-    packed = docs.select("__id", "__text").mapInArrow(pack, PACKED)
-    found = packed.repartition(n, "bucket").mapInArrow(meet, "bucket int, ids binary, ords binary")
-    return found.repartition(n, "bucket").mapInArrow(gather, "__id long, ords binary")
+    packed = docs.select("__id", "__text").mapInArrow(tidy(pack), PACKED)
+    found = packed.repartition(n, "bucket").mapInArrow(tidy(meet), "bucket int, ids binary, ords binary")
+    return found.repartition(n, "bucket").mapInArrow(tidy(gather), "__id long, ords binary")
 
 
 MARKS = "bucket int, __id binary, __tag binary, start binary, count binary"
@@ -146,7 +146,7 @@ def gathered_marks(marks: DataFrame) -> DataFrame:
             a = at[k : k + 5000]
             yield pa.RecordBatch.from_arrays([pa.array(i[a]), pa.array(t[a]), pa.array([pairs[x:z].tobytes() for x, z in zip(a, ends[k : k + 5000], strict=True)], pa.binary())], names=["__id", "__tag", "runs"])
 
-    each = marks.repartition(n, "bucket").mapInArrow(gather, "__id long, __tag long, runs binary")
+    each = marks.repartition(n, "bucket").mapInArrow(tidy(gather), "__id long, __tag long, runs binary")
     return each.groupBy("__id").agg(F.collect_list(F.struct("__tag", "runs")).alias("__marks"))
 
 

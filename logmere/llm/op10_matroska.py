@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import chunks
+from ._common import chunks, tidy
 
 # Element identifiers of the Matroska container.
 EBML, EBML_VERSION, EBML_READ, EBML_ID_LENGTH, EBML_SIZE_LENGTH, DOC_TYPE, DOC_VERSION, DOC_READ = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
@@ -242,7 +242,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             texts = b.column(text_col).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array([write_matroska(padded(t)) for t in texts], pa.binary())], names=[id_col, "n_bytes", "media"])
 
-    return docs.select(id_col, text_col).mapInArrow(store, f"`{id_col}` {kind}, n_bytes long, media binary")
+    return docs.select(id_col, text_col).mapInArrow(tidy(store), f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
 def packet_table(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -255,7 +255,7 @@ def packet_table(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 p = parse_matroska(raw)["packets"] if raw is not None else np.zeros((0, 4), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(p), b.column(id_col).type), *[pa.array(p[:, k]) for k in range(4)]], names=[id_col, "track", "timestamp_ms", "offset", "size"])
 
-    return media.select(id_col, "media").mapInArrow(walk, f"`{id_col}` {kind}, track long, timestamp_ms long, offset long, size long")
+    return media.select(id_col, "media").mapInArrow(tidy(walk), f"`{id_col}` {kind}, track long, timestamp_ms long, offset long, size long")
 
 
 def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -274,7 +274,7 @@ def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("n_bytes"), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]], names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return media.mapInArrow(read, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(tidy(read), f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

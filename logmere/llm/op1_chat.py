@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, partitions
+from ._common import chunks, partitions, tidy
 
 START, STOP = "<|im_start|>", "<|im_end|>"
 _OPEN, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -72,7 +72,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
             turns = [render(r, t) for r, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), pa.array(turns, pa.string())], names=["conv_id", "turn", "formatted"])
 
-    return c.mapInArrow(form, "conv_id long, turn long, formatted string")
+    return c.mapInArrow(tidy(form), "conv_id long, turn long, formatted string")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], names=[f[0] for f in fields])
 
     dealt = formatted.select("conv_id", "turn", "formatted").repartition(partitions(formatted.sparkSession), "conv_id")
-    return dealt.sortWithinPartitions("conv_id", "turn", "formatted").select("conv_id", "formatted").mapInArrow(digest, schema)
+    return dealt.sortWithinPartitions("conv_id", "turn", "formatted").select("conv_id", "formatted").mapInArrow(tidy(digest), schema)
 
 
 HARD = f"{STOP}{START}assistant ok"

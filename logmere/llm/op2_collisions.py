@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded, partitions, written
+from ._common import bounded, partitions, tidy, written
 from ._graph import components, forest
 
 THRESHOLD = 0.95
@@ -125,7 +125,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 out.append((x / big).tobytes() if len(x) and np.isfinite(x).all() and big > 0 else None)
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(out, pa.binary())], names=["vec_id", "x"])
 
-    packed = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("v")).mapInArrow(pack, "vec_id long, x binary")
+    packed = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("v")).mapInArrow(tidy(pack), "vec_id long, x binary")
     table = written(packed.withColumn("name", F.unhex(F.md5("x"))), "vectors")
     # Equal vectors are one node with a weight, so a vector that a third of all rows hold is compared once.
     nodes = table.where("x IS NOT NULL").groupBy("name").agg(F.first("x").alias("x"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
@@ -144,7 +144,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(uid[at], codes.shape[1])), pa.array(np.full(codes.size, dim, np.int32)), pa.array(turn), pa.array(codes.reshape(-1))], names=["uid", "dim", "turn", "code"])
 
     cell = ["dim", "turn", "code"]
-    light = written(nodes.select("uid", "x").mapInArrow(place, "uid long, dim int, turn int, code long"), "places")
+    light = written(nodes.select("uid", "x").mapInArrow(tidy(place), "uid long, dim int, turn int, code long"), "places")
     shared = written(light.groupBy(*cell).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(*cell, F.ceil(F.col("m") / (2 * block)).cast("int").alias("splits")), "blocks")
     part = F.pmod(F.xxhash64("uid"), F.col("splits")).cast("int")
     tiles = light.join(shared, cell).select("uid", *cell, part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("other"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, bucket_keys, chunks, cut_by, ids_and_text, mix, opened, partitions, press, unpacked, windows_hash, with_rest
+from ._common import Words, bucket_keys, chunks, cut_by, ids_and_text, mix, opened, partitions, press, tidy, unpacked, windows_hash, with_rest
 from ._shared import MARK_NAMES, MARKS, blobs, gathered_marks, later_copies, packed_marks, shared_keys
 
 WINDOW = 20
@@ -189,8 +189,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if len(o):
                 yield blobs(deal, packed_marks(ids[o], tags[o], starts[o], n), MARK_NAMES)
 
-    sent = asked.where(~is_copy).select("__id", "__text", "__rest", "__tag", "ords").mapInArrow(candidates, SENT)
-    marks = gathered_marks(sent.repartition(n, "bucket").mapInArrow(settle, MARKS))
+    sent = asked.where(~is_copy).select("__id", "__text", "__rest", "__tag", "ords").mapInArrow(tidy(candidates), SENT)
+    marks = gathered_marks(sent.repartition(n, "bucket").mapInArrow(tidy(settle), MARKS))
     judged = dealt.join(marks, "__id", "left").join(copies, "__id", "left").select("__text", "__tag", "__rest", "__marks", is_copy.alias("__copy"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +211,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([b.column("__rest"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()), *[b.column("__text")] * keep_text], names=["__rest", "__kept", "__n_words", "__n_removed", *["__text"] * keep_text])
 
     # Both uses of the dealt texts take the same columns, so their shuffle is done once.
-    done = judged.mapInArrow(finish, with_rest(table, "__kept string, __n_words long, __n_removed long" + ", __text string" * keep_text))
+    done = judged.mapInArrow(tidy(finish), with_rest(table, "__kept string, __n_words long, __n_removed long" + ", __text string" * keep_text))
     return done.select(*unpacked([c for c in docs.columns if (keep_text or c != text_col) and c.lower() not in ("__kept", "__n_words", "__n_removed")], text_col, docs.columns), "__kept", "__n_words", "__n_removed")
 
 

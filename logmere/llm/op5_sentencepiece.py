@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import beside, bounded, chunks, with_rest
+from ._common import KEPT, beside, bounded, chunks, tidy, with_rest
 from .suffix import suffix_array
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -204,6 +204,7 @@ class Encoder:
 
 #: The encoder of this worker process, by model: later tasks find the units that earlier ones have met.
 _OWN: dict[str, Encoder] = {}
+KEPT[__name__] = _OWN.clear
 
 
 def encoder(model: str, shared) -> Encoder:
@@ -235,7 +236,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataF
         for b in chunks(batches, "__text"):
             yield pa.RecordBatch.from_arrays([b.column("__rest"), pa.array(e.encode(b.column("__text").to_pylist()), pa.binary())], names=["__rest", "__ids"])
 
-    return table.mapInArrow(run, with_rest(table, "__ids binary")).select(*beside(docs.columns, ["__ids"]))
+    return table.mapInArrow(tidy(run), with_rest(table, "__ids binary")).select(*beside(docs.columns, ["__ids"]))
 
 
 def decode(encoded: DataFrame, ids_col: str = "__ids", model: str = MODEL) -> DataFrame:
@@ -248,7 +249,7 @@ def decode(encoded: DataFrame, ids_col: str = "__ids", model: str = MODEL) -> Da
         for b in chunks(batches, "__packed"):
             yield pa.RecordBatch.from_arrays([b.column("__rest"), pa.array(e.decode(b.column("__packed").to_pylist()), pa.string())], names=["__rest", "__decoded"])
 
-    return table.mapInArrow(run, with_rest(table, "__decoded string")).select(*beside(encoded.columns, ["__decoded"]))
+    return table.mapInArrow(tidy(run), with_rest(table, "__decoded string")).select(*beside(encoded.columns, ["__decoded"]))
 
 
 def report(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataFrame:
@@ -270,7 +271,7 @@ def report(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataF
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]), pa.array([a == t for a, t in zip(back, texts, strict=True)], pa.bool_()),
             ], names=["__rest", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
-    return table.mapInArrow(run, with_rest(table, "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")).select(*beside([c for c in docs.columns if c != text_col], ["n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]))
+    return table.mapInArrow(tidy(run), with_rest(table, "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")).select(*beside([c for c in docs.columns if c != text_col], ["n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, Words, bounded, chunks, mix, partitions, written
+from ._common import NULL_ID, Words, bounded, chunks, mix, partitions, tidy, written
 from ._counts import CHUNK_KEYS, counted
 from ._graph import components, forest
 
@@ -141,7 +141,7 @@ def describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
         if chunk.sids:
             yield flush()
 
-    return docs.mapInArrow(run, DESCRIBED)
+    return docs.mapInArrow(tidy(run), DESCRIBED)
 
 
 def parts_of(row: dict, length: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -180,7 +180,7 @@ def whole_sets(docs: DataFrame, described: DataFrame, k: int, percent: int) -> D
         if chunk.sids:
             yield flush()
 
-    return written(texts.select("text", "sid").mapInArrow(gather, "chunk long, sids binary, sizes binary, tokens binary"), "whole")
+    return written(texts.select("text", "sid").mapInArrow(tidy(gather), "chunk long, sids binary, sizes binary, tokens binary"), "whole")
 
 
 NEAR = "sid binary, n long, uniq long, sketch binary, tokens array<long>, shingles binary"
@@ -229,7 +229,7 @@ def distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(apart, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "apart", "linked"])
 
-    return right.join(left, ["a", "salt"]).select("a", "b", "s", "t").mapInArrow(test, "a long, b long, apart long, linked boolean")
+    return right.join(left, ["a", "salt"]).select("a", "b", "s", "t").mapInArrow(tidy(test), "a long, b long, apart long, linked boolean")
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -346,7 +346,7 @@ def jaccard_links(near: DataFrame, percent: int = PERCENT) -> DataFrame:
             p = p[root_of(p[:, 2]) != root_of(p[:, 3])]
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array([False] * len(p), pa.bool_())], names=["a", "b", "sure"])
 
-    pairs = written(rows.repartition(parts, "token", "one", "two").mapInArrow(meet, "a long, b long, sure boolean").distinct(), "pairs")
+    pairs = written(rows.repartition(parts, "token", "one", "two").mapInArrow(tidy(meet), "a long, b long, sure boolean").distinct(), "pairs")
     compared = distances(pairs.where("NOT sure").select("a", "b"), sets, percent).where("linked")
     return own.union(pairs.where("sure").select("a", "b")).union(compared.select("a", "b"))
 

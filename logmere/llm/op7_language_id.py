@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import beside, bounded, chunks, with_rest
+from ._common import beside, bounded, chunks, tidy, with_rest
 
 ORDERS = (2, 3, 4)
 BITS = 18
@@ -106,7 +106,7 @@ def training(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[lis
         for b in chunks(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array([grams(t).astype(np.int32).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["id", "lang", "grams"])
 
-    some = labelled.where(uniform < share).mapInArrow(presence, "id string, lang string, grams binary")
+    some = labelled.where(uniform < share).mapInArrow(tidy(presence), "id string, lang string, grams binary")
     kept: dict[str, list] = {}
     for r in sorted(some.collect(), key=lambda r: (hash_of(r["id"]), r["grams"])):
         if r["grams"] and len(kept.setdefault(r["lang"], [])) < per_language:
@@ -163,7 +163,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             yield pa.RecordBatch.from_arrays([b.column("__rest"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())], names=["__rest", "__lang", "__score", "__margin"])
 
     table = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__rest"))
-    return table.mapInArrow(score, with_rest(table, "__lang string, __score double, __margin double")).select(*beside(docs.columns, ["__lang", "__score", "__margin"]))
+    return table.mapInArrow(tidy(score), with_rest(table, "__lang string, __score double, __margin double")).select(*beside(docs.columns, ["__lang", "__score", "__margin"]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

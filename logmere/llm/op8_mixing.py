@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, beside, bounded, chunks, with_rest, written
+from ._common import KEPT, Words, beside, bounded, chunks, tidy, with_rest, written
 
 DOMAINS = ("good", "plain", "toxic")
 #: Shares of the words; the total makes the first domain's own words its share.
@@ -39,6 +39,9 @@ def vocabulary() -> Words:
     return Words(lower=True, strip=b".,;:!?()[]\"'|")
 
 
+KEPT[__name__] = vocabulary.cache_clear
+
+
 def features(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The number of words of each text, its number of distinct hashed places, and these places one text after the other."""
     lists = [words.split(t) for t in texts]
@@ -111,7 +114,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -
             _, size, flat = features(b.column("text").to_pylist(), words)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("domain"), pa.array([x.tobytes() for x in np.split(flat.astype(np.int32), np.cumsum(size)[:-1])], pa.binary())], names=["doc_id", "domain", "s"])
 
-    rows = sorted(text.where(uniform < min(1.0, SAMPLE / max(1, count))).join(some, "doc_id").mapInArrow(sample, "doc_id long, domain string, s binary").collect())
+    rows = sorted(text.where(uniform < min(1.0, SAMPLE / max(1, count))).join(some, "doc_id").mapInArrow(tidy(sample), "doc_id long, domain string, s binary").collect())
     rows = [r for r in rows if r["s"]]
     if rows:
         model = fit([np.frombuffer(r["s"], np.int32).astype(np.int64) for r in rows], [DOMAINS.index(r["domain"]) for r in rows], len(DOMAINS))
@@ -130,7 +133,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -
             p = posterior(size, flat, table, bias)
             yield pa.RecordBatch.from_arrays([b.column("__rest"), pa.array(n), pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * len(DOMAINS), p.reshape(-1))], names=["__rest", "__n_words", "__p"])
 
-    return table.mapInArrow(score, with_rest(table, "__n_words long, __p array<double>")).select(*beside(docs.columns, ["__n_words", "__p"]))
+    return table.mapInArrow(tidy(score), with_rest(table, "__n_words long, __p array<double>")).select(*beside(docs.columns, ["__n_words", "__p"]))
 
 
 def rates_after(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -158,7 +161,7 @@ def fit_rates(scored: DataFrame, targets: dict[str, float]) -> list[np.ndarray]:
                 out[1:] += live.T @ p
             yield pa.RecordBatch.from_arrays([pa.array(range(k * (k + 1)), pa.int32()), pa.array(out.reshape(-1))], names=["at", "v"])
 
-        rows = scored.select("__n_words", "__p").mapInArrow(add, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+        rows = scored.select("__n_words", "__p").mapInArrow(tidy(add), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
         out = np.zeros(k * (k + 1))
         for r in rows:
             out[r["at"]] = r["v"]

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, written
+from ._common import chunks, tidy, written
 
 # Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -150,7 +150,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = 4 << 20) -> DataFrame:
         if frames:
             yield flush()
 
-    return typed.mapInArrow(archive, "archive string, n_records long, content binary")
+    return typed.mapInArrow(tidy(archive), "archive string, n_records long, content binary")
 
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
@@ -172,7 +172,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                         rows, size = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds)], names=names)
 
-    return archives.select("content").mapInArrow(read, schema)
+    return archives.select("content").mapInArrow(tidy(read), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
