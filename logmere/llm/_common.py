@@ -23,7 +23,9 @@ NULL_ID = -(2**63)
 
 
 #: Bytes of an Arrow batch, where the session sets none: long texts come in small batches.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+#: Bytes of text that an operator works on at once, or one row.
+CHUNK_BYTES = 1 << 20
 
 
 def bounded(spark: SparkSession) -> SparkSession:
@@ -204,7 +206,7 @@ class Words:
         return self.table[at]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose text is at most `most` bytes, or one row."""
     for b in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -44,18 +44,18 @@ def _replies(ids: np.ndarray, ords: np.ndarray, n: int) -> list[tuple]:
     return [(k, press(i), press(np.diff(o, prepend=np.int32(0))), None, None) for k, i, o in cut_by(ids[order] % n, n, ids[order], ords[order])]
 
 
-def shared_keys(docs: DataFrame, keys_of: Callable[[pa.Array], list[np.ndarray]]) -> DataFrame:
+def shared_keys(docs: DataFrame, keys_of: Callable[[pa.Array], list[np.ndarray]], most: int = 4 << 20) -> DataFrame:
     """docs has __id and __text; keys_of gives one key array for each text of a column.
 
     Returns (__id, ords): one row per id that has any repeated key, `ords` a packed int32 array with the places of
-    those keys. Repeats inside one document count as repeats. Replies are dealt by id in blobs, so their number
+    those keys; `most` bytes of text are packed together. Repeats inside one document count as repeats. Replies are dealt by id in blobs, so their number
     does not grow with documents times buckets.
     """
     n = partitions(docs.sparkSession)
     deal = bucket_keys(docs.sparkSession, n)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "__text"):
+        for b in chunks(batches, "__text", most):
             each = keys_of(b.column("__text"))
             if not sum(map(len, each)):
                 continue

@@ -72,14 +72,14 @@ def compress(level: Level, turn: int, begin: np.ndarray, end: np.ndarray) -> Lev
 
 def witnesses(h: np.ndarray, size: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """h: word hashes of a batch; size: words of each document. For every window: document, start; the witness of each (an index) and the witnesses' keys."""
-    end = np.cumsum(size)
-    begin = end - size
+    end = np.cumsum(size).astype(np.int32)  # places within a batch: small numbers, as there are many
+    begin = (end - size).astype(np.int32)
     many = np.maximum(size - window + 1, 0)
-    doc = np.repeat(np.arange(len(size)), many)
-    start = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + begin[doc]
+    doc = np.repeat(np.arange(len(size), dtype=np.int32), many)
+    start = np.arange(len(doc), dtype=np.int32) - np.repeat(np.cumsum(many) - many, many).astype(np.int32) + begin[doc]
     if not len(doc):
         return doc, start, doc, np.zeros(0, np.uint64)
-    levels = [Level(h, np.repeat(np.arange(len(size)), size), np.arange(len(h)), np.arange(len(h)) + 1)]
+    levels = [Level(h, np.repeat(np.arange(len(size), dtype=np.int32), size), np.arange(len(h), dtype=np.int32), np.arange(1, len(h) + 1, dtype=np.int32))]
     for turn in range(rounds):
         levels.append(compress(levels[-1], turn, begin, end))
     power = np.cumprod(np.full(len(h) + 1, int(PAIR), np.uint64))
@@ -141,7 +141,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         order = np.argsort(owner, kind="stable")
         return np.split(keys[order], np.searchsorted(owner[order], np.arange(1, len(size))))
 
-    replies = shared_keys(table, keys_of)
+    replies = shared_keys(table, keys_of, 2 << 20)
     copies = later_copies(table).groupBy("__id").agg(F.collect_set("__digest").alias("__copies"))
     asked = dealt.join(replies, "__id").join(copies, "__id", "left")
     is_copy = F.coalesce(F.array_contains("__copies", F.sha2(F.encode("__text", "utf-8"), 256)), F.lit(False))
