@@ -24,6 +24,14 @@ def get(log: DataFrame, lsn: int) -> DataFrame:
     return log.where(F.col("lsn") == lsn)
 
 
+def key_equals(key: dict) -> Column:
+    """All columns of a key equal their values; a null value is met by null."""
+    out = F.lit(True)
+    for c, v in key.items():
+        out = out & F.col(c).eqNullSafe(F.lit(v))
+    return out
+
+
 def segment_of(lsn: str, size: int) -> Column:
     return F.floor((F.col(lsn) - 1) / size).cast("long")
 
@@ -138,6 +146,37 @@ def last_row(log: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     return last.where("r.op <> 'delete'").select(*key, "r.lsn", *[f"r.{c}" for c in columns])
 
 
+def statuses(log: DataFrame, key: list[str], width: int = ordered.WIDTH) -> DataFrame:
+    """log with `status`, of entries in order: applied, failed (an insert of a present key), empty (an update or delete of an
+    absent one) or skipped (noop). A failure stops nothing, the next entries go on."""
+    state = F.when(F.col("op").isin("insert", "upsert", "delete"), F.col("op") != "delete")
+    so_far = ordered.running_last(log.withColumn("__state", state), key, "lsn", "__state", "__now", width)
+    p = ordered.previous(so_far, key, "lsn", "__now", "__before", width)
+    there = F.coalesce("__before", F.lit(False))
+    status = F.when(F.col("op") == "noop", "skipped").when((F.col("op") == "insert") & there, "failed").when(F.col("op").isin("update", "delete") & ~there, "empty").otherwise("applied")
+    return p.withColumn("status", status).drop("__state", "__now", "__before")
+
+
+def transactions(log: DataFrame, by: str) -> DataFrame:
+    """Entries of one transaction as a unit, named after its first entry's table."""
+    return log.groupBy(by).agg(F.min("lsn").alias("first_lsn"), F.max("lsn").alias("last_lsn"), F.min_by("tbl", "lsn").alias("tbl"), F.count(F.lit(1)).alias("entries"))
+
+
+def single_rows(log: DataFrame, rows: str) -> DataFrame:
+    """Bulk inserts as one entry a row: `rows` is an array; part numbers the rows of an entry from 0."""
+    return log.select("lsn", "tbl", F.posexplode(rows).alias("part", "pk"))
+
+
+def retained(log: DataFrame, oldest: int) -> DataFrame:
+    return log.where(F.col("lsn") >= oldest)
+
+
+def average_rate(log: DataFrame, by: str) -> DataFrame:
+    """Positions per second from the first to the last entry; null where no time has passed."""
+    t = log.groupBy(by).agg((F.max("lsn") - F.min("lsn")).alias("n"), (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).alias("us"))
+    return t.select(by, F.round(F.when(F.col("us") > 0, F.col("n") / (F.col("us") / 1e6)), 4).alias("average"))
+
+
 def unapplied(log: DataFrame, applied: int) -> DataFrame:
     """Entries after the applied position, each once."""
     return log.where(F.col("lsn") > applied).dropDuplicates(["lsn"])

@@ -37,6 +37,11 @@ def healthy_readers(m: DataFrame, most: int = MOST_LAG) -> DataFrame:
     return with_lag(m).where((F.col("status") == "ACTIVE") & ~F.col("is_lb") & (F.col("behind") <= most))
 
 
+def live_servers(m: DataFrame, seconds: int = 4) -> DataFrame:
+    """Peers heard of lately that are no clients; the flag is_lb marks clients."""
+    return m.where((F.col("age_s") < seconds) & ~F.col("is_lb"))
+
+
 def is_fresh(age: Column, timeout: int) -> Column:
     """False for a node that was never heard of."""
     return F.coalesce(age < timeout, F.lit(False))

@@ -14,14 +14,22 @@ from . import ordered
 REORDER, RESTART = 32, 100
 
 
-def next_hops(destinations: DataFrame, peers: DataFrame, routes: DataFrame) -> DataFrame:
-    """(dest, hop, how) of each distinct destination: a connected peer, the host of a subnet route, the gateway, or all."""
+def connected(peers: DataFrame, seconds: int = 120) -> DataFrame:
+    """Peers with a session (session not null) that were seen lately."""
+    return peers.where(F.col("session").isNotNull() & (F.col("seen_s") < seconds))
+
+
+def next_hops(destinations: DataFrame, peers: DataFrame, routes: DataFrame, relays: DataFrame) -> DataFrame:
+    """(dest, hop, how) of each distinct destination: a connected peer, the connected host of a subnet route, the relay through which
+    it was learned (dest, relay: an address, connected or not), the gateway, or all."""
     up = peers.where("connected").groupBy("ip").agg(F.min("peer_id").alias("direct"))
     via = routes.join(up.withColumnsRenamed({"ip": "host", "direct": "routed"}), "host").groupBy("dest").agg(F.min("routed").alias("routed"))
     gate = peers.where("connected AND is_gateway").agg(F.min("peer_id").alias("gateway"))
-    d = destinations.select("dest").distinct().join(up.withColumnRenamed("ip", "dest"), "dest", "left").join(via, "dest", "left").join(F.broadcast(gate))  # one row
-    how = F.when(F.col("direct").isNotNull(), "direct").when(F.col("routed").isNotNull(), "route").when(F.col("gateway").isNotNull(), "gateway").otherwise("broadcast")
-    return d.select("dest", F.coalesce("direct", "routed", "gateway").alias("hop"), how.alias("how"))
+    known = peers.groupBy(F.col("ip").alias("relay")).agg(F.min("peer_id").alias("relayed"))
+    learned = relays.join(known, "relay").groupBy("dest").agg(F.min("relayed").alias("relayed"))
+    d = destinations.select("dest").distinct().join(up.withColumnRenamed("ip", "dest"), "dest", "left").join(via, "dest", "left").join(learned, "dest", "left").join(F.broadcast(gate))  # one row
+    how = F.when(F.col("direct").isNotNull(), "direct").when(F.col("routed").isNotNull(), "route").when(F.col("relayed").isNotNull(), "relay").when(F.col("gateway").isNotNull(), "gateway").otherwise("broadcast")
+    return d.select("dest", F.coalesce("direct", "routed", "relayed", "gateway").alias("hop"), how.alias("how"))
 
 
 def relays(peers: DataFrame) -> DataFrame:

@@ -88,9 +88,51 @@ def diff(incoming: DataFrame, local: DataFrame) -> DataFrame:
 
 
 def merge(local: DataFrame, upserts: DataFrame, deleted: DataFrame) -> DataFrame:
-    """Upserts win over local rows, deletions over both; a size never shrinks."""
+    """Upserts replace local rows, whatever their sizes; deletions win over both."""
     both = local.select("path", "size", F.lit(0).alias("__new")).unionByName(upserts.select("path", "size", F.lit(1).alias("__new")))
-    return both.groupBy("path").agg(F.max("size").alias("size"), F.max("__new").alias("from_upsert")).join(deleted, "path", "left_anti")
+    return both.groupBy("path").agg(F.max_by("size", "__new").alias("size"), F.max("__new").alias("from_upsert")).join(deleted, "path", "left_anti")
+
+
+def merged_sizes(local: DataFrame, incoming: DataFrame) -> DataFrame:
+    """A metadata-only sync: a path's size never shrinks."""
+    both = local.select("path", "size").unionByName(incoming.select("path", "size"))
+    return both.groupBy("path").agg(F.max("size").alias("size"))
+
+
+def with_children(directories: DataFrame, index: DataFrame) -> DataFrame:
+    """Directories (path) that have an entry directly below."""
+    return directories.join(index.select(F.regexp_replace("path", "/?[^/]*$", "").alias("path")).distinct(), "path", "left_semi")
+
+
+def overwritten(chunks: DataFrame, writes: DataFrame) -> DataFrame:
+    """Chunks (path, offset, size, hash) after writes, one a path: what overlaps a write goes, the write comes in."""
+    w = writes.select("path", F.col("offset").alias("lo"), (F.col("offset") + F.col("size")).alias("hi"))
+    stays = chunks.join(w, "path", "left").where("lo IS NULL OR offset + size <= lo OR offset >= hi").select("path", "offset", "size", "hash")
+    return stays.unionByName(writes.where("size > 0").select("path", "offset", "size", "hash"))
+
+
+def overlaid(chunks: DataFrame, unflushed: DataFrame) -> DataFrame:
+    """What a read sees: chunks not yet flushed come before stored ones at the same place."""
+    both = chunks.select("path", "offset", "size", "hash", F.lit(0).alias("__new")).unionByName(unflushed.select("path", "offset", "size", "hash", F.lit(1).alias("__new")))
+    return both.groupBy("path", "offset").agg(F.max_by(F.struct("size", "hash"), "__new").alias("r")).select("path", "offset", "r.size", "r.hash")
+
+
+def updated(index: DataFrame, updates: DataFrame) -> DataFrame:
+    """(path, size, is_dir) after updates (seq, op, path, size) in order of seq: upsert and mkdir put an entry, delete takes it."""
+    last = updates.groupBy("path").agg(F.max_by(F.struct("op", "size"), "seq").alias("u"))
+    put = last.where("u.op <> 'delete'").select("path", F.when(F.col("u.op") == "mkdir", F.lit(0)).otherwise(F.col("u.size")).cast("long").alias("size"), (F.col("u.op") == "mkdir").alias("is_dir"))
+    return index.select("path", "size", "is_dir").join(last, "path", "left_anti").unionByName(put)
+
+
+def linked(index: DataFrame, links: DataFrame) -> DataFrame:
+    """Hard links (path, target): new entries that refer to the target's content; links to nothing go."""
+    return links.join(index.select(F.col("path").alias("target"), "size", "hash"), "target").select("path", "size", "hash")
+
+
+def removed(index: DataFrame, paths: DataFrame) -> DataFrame:
+    """The index without the files of `paths` and the directories among them that are empty."""
+    full = with_children(paths.select("path"), index)
+    return index.join(paths.join(full, "path", "left_anti"), "path", "left_anti")
 
 
 def changed_entries(changes: DataFrame, index: DataFrame, key: str) -> DataFrame:

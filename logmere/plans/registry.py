@@ -112,6 +112,28 @@ def delta_or_full(s: SparkSession, d: str) -> DataFrame:
     return C.delta_or_full(c, asked, 200)
 
 
+on_log("A3_row_count", "SELECT tbl, count(*) AS entries FROM wal GROUP BY tbl", lambda w: w.groupBy("tbl").agg(F.count(F.lit(1)).alias("entries")))
+on_log("A6_applied_count", "SELECT origin_node, count(*) AS applied FROM wal WHERE lsn <= 900 GROUP BY 1", lambda w: C.scan_range(w, 1, 900).groupBy("origin_node").agg(F.count(F.lit(1)).alias("applied")))
+on_log("A13_average", "SELECT tbl, round((max(lsn) - min(lsn)) / nullif((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 0), 4) AS average FROM wal GROUP BY tbl", lambda w: C.average_rate(w, "tbl"))
+on_log("R15_retained", "SELECT lsn, tbl FROM wal WHERE lsn >= 300", lambda w: C.retained(w, 300).select("lsn", "tbl"))
+on_log("M5_bulk_insert", "SELECT lsn, tbl, CAST(unnest([0, 1, 2]) AS INTEGER) AS part, unnest([pk, pk + 1, pk + 2]) AS pk FROM wal WHERE op = 'insert'", lambda w: C.single_rows(w.where("op = 'insert'").withColumn("rows", F.array("pk", F.col("pk") + 1, F.col("pk") + 2)), "rows"))
+on_log("M6_transactions", "SELECT (lsn - 1) // 4 AS tx, min(lsn) AS first_lsn, max(lsn) AS last_lsn, arg_min(tbl, lsn) AS tbl, count(*) AS entries FROM wal GROUP BY 1", lambda w: C.transactions(w.withColumn("tx", C.segment_of("lsn", 4)), "tx"))
+on_log("M12_statuses", "WITH b AS (SELECT lsn, pk, op, last_value(CASE WHEN op IN ('insert', 'upsert', 'delete') THEN op <> 'delete' END IGNORE NULLS) OVER (PARTITION BY pk ORDER BY lsn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS there FROM wal) SELECT lsn, CASE WHEN op = 'noop' THEN 'skipped' WHEN op = 'insert' AND coalesce(there, false) THEN 'failed' WHEN op IN ('update', 'delete') AND NOT coalesce(there, false) THEN 'empty' ELSE 'applied' END AS status FROM b", lambda w: C.statuses(w.select("lsn", "pk", "op"), ["pk"]).select("lsn", "status"))
+on_log("P1_key", "SELECT lsn, value FROM wal WHERE tbl = 'tbl_2' AND pk % 7 = 3 AND origin_node = 'node-1'", lambda w: w.where(C.key_equals({"tbl": "tbl_2", "origin_node": "node-1"}) & (F.col("pk") % 7 == 3)).select("lsn", "value"))
+on_log("F5_tables", "SELECT lsn, CASE WHEN sql NOT LIKE 'SELECT%' THEN tbl END AS written FROM logged", lambda w: V.logged_statements(w).select("lsn", Q.dml_table(F.col("sql")).alias("written")), ("logged",))
+on_log("Q1_class_log", "SELECT lsn, sql NOT LIKE 'SELECT%' AS writes, sql NOT LIKE 'SELECT%' AND sql NOT LIKE '/*%' AS writes_old, sql LIKE 'SELECT%' AS fast_read FROM logged", lambda w: V.logged_statements(w).select("lsn", Q.is_write(F.col("sql")).alias("writes"), Q.is_write_old(F.col("sql")).alias("writes_old"), Q.is_fast_read(F.col("sql")).alias("fast_read")), ("logged",))
+on_members("P13_live", "SELECT id FROM members WHERE age_s < 4 AND NOT is_lb", lambda m: M.live_servers(m).select("id"))
+on_members("P16_stats", "SELECT id, address, status, last_applied_lsn, lag FROM members", lambda m: m.select("id", "address", "status", "last_applied_lsn", "lag"))
+on_peers("P14_connected", "SELECT peer_id FROM peers WHERE peer_id % 3 > 0 AND rx % 300 < 120", lambda p: N.connected(p.withColumns({"session": F.when(F.col("peer_id") % 3 > 0, F.col("public_key")), "seen_s": F.col("rx") % 300})).select("peer_id"))
+on_files("F9_bucket_key", "SELECT path, split_part(path, '/', 1) AS b, substr(path, length(split_part(path, '/', 1)) + 2) AS k, 'X' || chr(39) || lower(hex(encode(key))) || chr(39) AS literal, key AS plain FROM files", lambda f: f.select("path", F.substring_index("path", "/", 1).alias("b"), F.regexp_replace("path", "^[^/]*/", "").alias("k"), S.bytes_literal(F.encode("key", "utf-8")).alias("literal"), S.without_ansi(F.concat(F.lit("\x1b[31m"), "key", F.lit("\x1b[0m"))).alias("plain")))
+on_files("R13_monotone", "SELECT path, size + CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 0 END AS size FROM files WHERE path IS NOT NULL", lambda f: f.where("path IS NOT NULL").transform(lambda g: O.merged_sizes(g, g.withColumn("size", F.expr("CASE WHEN doc_id % 3 = 0 THEN size + 4 ELSE size - least(size, 2) END")))))
+on_files("P12_exists_child", "SELECT DISTINCT bucket || '/' || split_part(key, '/', 1) AS path FROM files WHERE path IS NOT NULL", lambda f: O.with_children(f.select(F.concat("bucket", F.lit("/"), F.substring_index("key", "/", 1)).alias("path")).union(f.select(F.concat("path", F.lit("/none")))).distinct(), f.select("path")))
+on_files("O6_offset", "SELECT path, size FROM files WHERE path IS NOT NULL ORDER BY path LIMIT 100 OFFSET 40", lambda f: f.where("path IS NOT NULL").select("path", "size").orderBy("path").offset(40).limit(100))
+on_files("J7_inode_path", "SELECT doc_id AS ino, path, size FROM files WHERE path IS NOT NULL AND doc_id % 2 = 0", lambda f: f.where("doc_id % 2 = 0").select(F.col("doc_id").alias("ino"), "path").join(f.select("path", "size"), "path").select("ino", "path", "size"))
+on_files("B11_updates", "SELECT path, CASE WHEN doc_id % 3 = 1 THEN 0 WHEN doc_id % 3 = 2 THEN size + 9 ELSE size END AS size, doc_id % 3 = 1 AS is_dir FROM files WHERE path IS NOT NULL AND doc_id % 5 <> 0", lambda f: f.where("path IS NOT NULL").withColumn("is_dir", F.lit(False)).transform(lambda g: O.updated(g, g.where("doc_id % 3 > 0").select(F.col("doc_id").alias("seq"), F.expr("CASE WHEN doc_id % 3 = 1 THEN 'mkdir' ELSE 'upsert' END").alias("op"), "path", (F.col("size") + 9).alias("size")).union(g.where("doc_id % 5 = 0").select(F.col("doc_id") + 1, F.lit("delete"), "path", "size")))))
+on_files("B9_links", "SELECT 'link/' || doc_id AS path, size, hash FROM files WHERE path IS NOT NULL AND doc_id % 4 = 0", lambda f: O.linked(f, f.where("doc_id % 4 = 0").select(F.concat(F.lit("link/"), F.col("doc_id").cast("string")).alias("path"), F.col("path").alias("target")).union(f.select(F.lit("broken"), F.concat("path", F.lit("?"))))))
+on_files("B7_unlink", "SELECT path, size FROM files WHERE path IS NOT NULL AND doc_id % 6 <> 0", lambda f: f.where("path IS NOT NULL").select("doc_id", "path", "size").transform(lambda g: O.removed(g, g.where("doc_id % 6 = 0").select("path").union(g.select(F.regexp_replace("path", "/[^/]*$", "")).distinct()))).select("path", "size"))
+
 # Scalars
 on_log("F13_times", "SELECT lsn, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS log_time, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.000Z' AS iso_time, strftime(ts, '%a, %d %b %Y %H:%M:%S') || ' GMT' AS http_time FROM wal", lambda w: w.select("lsn", S.log_time(F.col("ts")).alias("log_time"), S.iso_time(F.col("ts")).alias("iso_time"), S.http_time(F.col("ts")).alias("http_time")))
 on_log("F17_snowflake", "WITH i AS (SELECT lsn, ((lsn - 1) << 22) | ((pk % 1024) << 12) | ((lsn - 1) % 4096) AS id FROM wal) SELECT id, id >> 22 AS ms, (id >> 12) & 1023 AS node, id & 4095 AS sequence FROM i", lambda w: w.select(S.snowflake(F.col("lsn") - 1, F.col("pk") % 1024, (F.col("lsn") - 1) % 4096).alias("id")).select("id", *[c.alias(n) for n, c in S.snowflake_parts(F.col("id")).items()]))
@@ -169,12 +191,14 @@ on_files("F33_chunks", f'WITH {_CHUNKS} SELECT path, CAST("offset" AS BIGINT) AS
 on_files("K8_store", f"WITH {_CHUNKS} SELECT hash, CAST(max(size) AS BIGINT) AS size FROM k WHERE hash NOT IN (SELECT hash FROM k WHERE \"offset\" = 1000) GROUP BY hash", lambda f: O.chunked(f.where("path IS NOT NULL"), 1000).transform(lambda c: O.store(c, c.where("offset = 1000").select("hash").distinct())).drop("data"))
 on_files("B3_read_range", "SELECT path, sha256(unhex(substr(h, 2 * (size // 3) + 1, 2 * (size // 2)))) AS digest FROM files WHERE path IS NOT NULL AND size // 2 > 0", lambda f: O.read_range(O.chunked(f.where("path IS NOT NULL"), 1000), f.where("path IS NOT NULL").select("path", F.floor(F.col("size") / 3).alias("lo"), (F.floor(F.col("size") / 3) + F.floor(F.col("size") / 2)).alias("hi"))).select("path", F.sha2("data", 256).alias("digest")))
 on_files("J9_range", f'WITH {_CHUNKS} SELECT path, CAST("offset" AS BIGINT) AS "offset", CAST(greatest(500, "offset") AS BIGINT) AS from_byte, CAST(least(2500, "offset" + size) AS BIGINT) AS to_byte FROM k WHERE "offset" < 2500 AND "offset" + size > 500', lambda f: O.clipped(O.chunked(f.where("path IS NOT NULL"), 1000), f.where("path IS NOT NULL").select("path", F.lit(500).cast("long").alias("lo"), F.lit(2500).cast("long").alias("hi"))))
+on_files("B4_overwrite", f'WITH {_CHUNKS} SELECT path, CAST("offset" AS BIGINT) AS "offset", CAST(size AS BIGINT) AS size, hash FROM k WHERE "offset" + size <= 1500 OR "offset" >= 2100 UNION ALL SELECT path, 1500, 600, \'new\' FROM files WHERE path IS NOT NULL', lambda f: f.where("path IS NOT NULL").transform(lambda g: O.overwritten(O.chunked(g, 1000), g.select("path", F.lit(1500).cast("long").alias("offset"), F.lit(600).cast("long").alias("size"), F.lit("new").alias("hash")))))
+on_files("R19_overlay", f'WITH {_CHUNKS} SELECT path, CAST("offset" AS BIGINT) AS "offset", CAST(CASE WHEN "offset" = 1000 THEN 7 ELSE size END AS BIGINT) AS size, CASE WHEN "offset" = 1000 THEN \'new\' ELSE hash END AS hash FROM k', lambda f: O.chunked(f.where("path IS NOT NULL"), 1000).transform(lambda c: O.overlaid(c, c.where("offset = 1000").select("path", "offset", F.lit(7).cast("long").alias("size"), F.lit("new").alias("hash")))))
 on_files("B5_truncate", f'WITH {_CHUNKS} SELECT path, CAST("offset" AS BIGINT) AS "offset", CAST(least(size, 1500 - "offset") AS BIGINT) AS size FROM k WHERE "offset" < 1500', lambda f: O.truncated(O.chunked(f.where("path IS NOT NULL"), 1000), 1500).select("path", "offset", F.col("size").cast("long").alias("size")))
 on_files("R17_messages", f'WITH {_CHUNKS}, m AS (SELECT path, "offset", (row_number() OVER (PARTITION BY path ORDER BY "offset") - 1) // 4 AS message FROM k) SELECT path, CAST(message AS BIGINT) AS message, count(*) AS chunks, CAST(min("offset") AS BIGINT) AS first FROM m GROUP BY path, message', lambda f: O.message_batches(O.chunked(f.where("path IS NOT NULL"), 1000), "path", "offset", 4))
 query("J5_missing", "SELECT DISTINCT hash FROM files WHERE hash NOT IN (SELECT hash FROM files JOIN labels USING (doc_id))", "files")(lambda s, d: V.files(s, d).transform(lambda f: O.missing(f, f.join(V.table(s, d, "labels").select("doc_id"), "doc_id").select("hash").distinct())))
 query("J6_exists", "SELECT path, size FROM files WHERE doc_id IN (SELECT doc_id FROM labels)", "files")(lambda s, d: V.files(s, d).join(V.table(s, d, "labels"), "doc_id", "left_semi").select("path", "size"))
 on_files("J12_diff", "SELECT path, CASE WHEN doc_id % 7 = 0 THEN 'added' WHEN doc_id % 5 = 0 THEN 'removed' WHEN doc_id % 3 = 0 THEN 'updated' ELSE 'unchanged' END AS change FROM files WHERE path IS NOT NULL AND NOT (doc_id % 7 = 0 AND doc_id % 5 = 0)", lambda f: f.where("path IS NOT NULL").transform(lambda g: O.diff(g.where("doc_id % 5 <> 0").withColumn("size", F.when(F.col("doc_id") % 3 == 0, F.col("size") + 1).otherwise(F.col("size"))), g.where("doc_id % 7 <> 0"))))
-on_files("U3_merge", "SELECT path, size + CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 0 END AS size, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS from_upsert FROM files WHERE path IS NOT NULL AND doc_id % 11 <> 0", lambda f: f.where("path IS NOT NULL").transform(lambda g: O.merge(g, g.where("doc_id % 2 = 0").withColumn("size", F.col("size") + 5), g.where("doc_id % 11 = 0").select("path"))))
+on_files("U3_merge", "SELECT path, size + CASE WHEN doc_id % 4 = 0 THEN 5 WHEN doc_id % 4 = 2 THEN -least(size, 3) ELSE 0 END AS size, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS from_upsert FROM files WHERE path IS NOT NULL AND doc_id % 11 <> 0", lambda f: f.where("path IS NOT NULL").transform(lambda g: O.merge(g, g.where("doc_id % 2 = 0").withColumn("size", F.expr("size + CASE WHEN doc_id % 4 = 0 THEN 5 ELSE -least(size, 3) END")), g.where("doc_id % 11 = 0").select("path"))))
 query("J10_changed", "WITH l AS (SELECT path, arg_max(is_deleted, version) AS gone FROM changes GROUP BY path) SELECT l.path, f.size FROM l JOIN files f ON f.doc_id = l.path WHERE NOT l.gone", "changes", "files")(lambda s, d: O.changed_entries(C.latest_op(V.changes(V.wal(s, d)), 0), V.files(s, d).select("doc_id", "size"), "doc_id"))
 on_files("B2_children", "SELECT split_part(substr(path, 4), '/', 1) AS name, bool_or(contains(substr(path, 4), '/')) AS is_dir FROM files WHERE starts_with(path, 'en/') GROUP BY 1", lambda f: O.children(f, "en"))
 on_files("B8_rename", "SELECT CASE WHEN starts_with(path, 'en/') THEN 'english' || substr(path, 3) ELSE path END AS path, size FROM files", lambda f: O.renamed(f, "en", "english"))
@@ -183,7 +207,7 @@ on_log("R16_merge", "WITH w AS (SELECT tbl, lsn * 10 AS lo, lsn * 10 + pk * 2 AS
 query("A18_schema_hash")(lambda s, d: S.schema_hash(s.createDataFrame([("a", "x", "int"), ("a", "y", "text"), ("b", "x", "int")], "table_name string, column_name string, data_type string")))
 
 # Mesh
-query("J8_next_hop", "WITH up AS (SELECT ip, min(peer_id) AS p FROM peers WHERE connected GROUP BY ip), d AS (SELECT DISTINCT ip AS dest FROM peers UNION SELECT 'net-' || n_nationkey FROM nation), r AS (SELECT 'net-' || n_nationkey AS dest, '10.0.' || n_nationkey || '.' || n_nationkey AS host FROM nation), v AS (SELECT r.dest, min(up.p) AS p FROM r JOIN up ON up.ip = r.host GROUP BY r.dest), g AS (SELECT min(peer_id) AS p FROM peers WHERE connected AND is_gateway) SELECT d.dest, coalesce(up.p, v.p, g.p) AS hop, CASE WHEN up.p IS NOT NULL THEN 'direct' WHEN v.p IS NOT NULL THEN 'route' WHEN g.p IS NOT NULL THEN 'gateway' ELSE 'broadcast' END AS how FROM d LEFT JOIN up ON up.ip = d.dest LEFT JOIN v ON v.dest = d.dest CROSS JOIN g", "peers")(lambda s, d: _hops(V.peers(s, d), V.table(s, d, "nation")))
+query("J8_next_hop", "WITH up AS (SELECT ip, min(peer_id) AS p FROM peers WHERE connected GROUP BY ip), d AS (SELECT DISTINCT ip AS dest FROM peers UNION SELECT 'net-' || n_nationkey FROM nation), r AS (SELECT 'net-' || n_nationkey AS dest, '10.0.' || n_nationkey || '.' || n_nationkey AS host FROM nation), v AS (SELECT r.dest, min(up.p) AS p FROM r JOIN up ON up.ip = r.host GROUP BY r.dest), y AS (SELECT p.ip AS dest, min(q.peer_id) AS p FROM peers p JOIN peers q ON q.ip = '10.0.' || p.nation || '.' || ((p.peer_id + 25) % 250) WHERE NOT p.connected AND p.peer_id % 2 = 0 GROUP BY p.ip), g AS (SELECT min(peer_id) AS p FROM peers WHERE connected AND is_gateway) SELECT d.dest, coalesce(up.p, v.p, y.p, g.p) AS hop, CASE WHEN up.p IS NOT NULL THEN 'direct' WHEN v.p IS NOT NULL THEN 'route' WHEN y.p IS NOT NULL THEN 'relay' WHEN g.p IS NOT NULL THEN 'gateway' ELSE 'broadcast' END AS how FROM d LEFT JOIN up ON up.ip = d.dest LEFT JOIN v ON v.dest = d.dest LEFT JOIN y ON y.dest = d.dest CROSS JOIN g", "peers")(lambda s, d: _hops(V.peers(s, d), V.table(s, d, "nation")))
 on_peers("N2_broadcast", "WITH g AS (SELECT nation, min(peer_id) AS g FROM peers WHERE is_gateway GROUP BY nation) SELECT CASE WHEN connected THEN peer_id ELSE g END AS hop, count(*) AS peers FROM peers LEFT JOIN g USING (nation) WHERE connected OR g IS NOT NULL GROUP BY 1", N.broadcast_hops)
 on_peers("A7_traffic", "SELECT nation, CAST(sum(rx) AS BIGINT) AS rx, CAST(sum(tx) AS BIGINT) AS tx, count(*) FILTER (connected) AS connected, count(*) AS peers FROM peers GROUP BY nation", N.traffic)
 on_peers("J11_identity", "WITH k AS (SELECT peer_id, CASE WHEN peer_id % 2 = 0 THEN ip ELSE 'moved' END AS ip, public_key FROM peers), i AS (SELECT ip, min(peer_id) AS p FROM peers GROUP BY ip) SELECT k.peer_id, coalesce(i.p, k.peer_id) AS sender FROM k LEFT JOIN i USING (ip)", lambda p: N.identified(p.select("peer_id", F.when(F.col("peer_id") % 2 == 0, F.col("ip")).otherwise("moved").alias("ip"), "public_key"), p).select("peer_id", "sender"))
@@ -194,7 +218,8 @@ on_log("F34_replay_window", "WITH p AS (SELECT lsn, pk * 7 % 1000 AS counter, ma
 def _hops(peers: DataFrame, nation: DataFrame) -> DataFrame:
     net = F.concat(F.lit("net-"), F.col("n_nationkey").cast("string"))
     routes = nation.select(net.alias("dest"), F.concat(F.lit("10.0."), F.col("n_nationkey").cast("string"), F.lit("."), F.col("n_nationkey").cast("string")).alias("host"))
-    return N.next_hops(peers.select(F.col("ip").alias("dest")).union(nation.select(net)), peers, routes)
+    relays = peers.where("NOT connected AND peer_id % 2 = 0").select(F.col("ip").alias("dest"), F.concat(F.lit("10.0."), F.col("nation").cast("string"), F.lit("."), ((F.col("peer_id") + 25) % 250).cast("string")).alias("relay"))
+    return N.next_hops(peers.select(F.col("ip").alias("dest")).union(nation.select(net)), peers, routes, relays)
 
 
 # Streams

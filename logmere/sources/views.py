@@ -48,6 +48,13 @@ def peers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select(k.alias("peer_id"), F.concat(F.lit("10.0."), F.col("s_nationkey").cast("string"), F.lit("."), (k % 250).cast("string")).alias("ip"), F.sha2(k.cast("string"), 256).alias("public_key"), F.col("s_nationkey").alias("nation"), (k % 10 == 0).alias("is_gateway"), (F.col("s_acctbal") > 0).alias("connected"), (k * 7).alias("rx"), (k * 3).alias("tx"))
 
 
+def logged_statements(log: DataFrame) -> DataFrame:
+    """A statement for each entry of the log: lsn, sql."""
+    pk, tbl = F.col("pk").cast("string"), F.concat(F.lit("`"), "tbl", F.lit("`"))
+    sql = F.when(F.col("op") == "insert", F.concat(F.lit("INSERT INTO "), tbl, F.lit(" VALUES ("), pk, F.lit(")"))).when(F.col("op") == "upsert", F.concat(F.lit("/* up */ replace into "), tbl, F.lit("(id) VALUES ("), pk, F.lit(")"))).when(F.col("op") == "update", F.concat(F.lit("UPDATE "), tbl, F.lit(" SET a = 1 WHERE id = "), pk)).when(F.col("op") == "delete", F.concat(F.lit("DELETE FROM "), tbl, F.lit(" WHERE id = "), pk)).otherwise(F.concat(F.lit("SELECT "), pk))
+    return log.select("lsn", "tbl", sql.alias("sql"))
+
+
 #: Fixed statements that exercise each class, with their database.
 STATEMENTS = [
     "INSERT INTO test VALUES (1)", "SELECT * FROM test", "/* c */ insert into t values (1)", "RENAME TABLE a TO b", "CALL p()", "GRANT ALL ON a TO b", "BEGIN", "FLUSH LOGS", "USE db", "SET x=1",
@@ -69,5 +76,6 @@ SQL = {
     "files": "SELECT doc_id, lang || '/' || source || '/' || doc_id AS path, lang AS bucket, source || '/' || doc_id AS key, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, sha256(coalesce(text, '')) AS hash, hex(encode(coalesce(text, ''))) AS h FROM documents",
     "changes": "SELECT event_id + 1 AS version, user_id AS path, event_type = 'error' AS is_deleted FROM events WHERE event_type IN ('signup', 'purchase', 'click', 'error')",
     "peers": "SELECT s_suppkey AS peer_id, '10.0.' || s_nationkey || '.' || (s_suppkey % 250) AS ip, sha256(CAST(s_suppkey AS VARCHAR)) AS public_key, s_nationkey AS nation, s_suppkey % 10 = 0 AS is_gateway, s_acctbal > 0 AS connected, s_suppkey * 7 AS rx, s_suppkey * 3 AS tx FROM supplier",
+    "logged": "SELECT event_id + 1 AS lsn, 'tbl_' || (user_id % 5) AS tbl, CASE event_type WHEN 'signup' THEN 'INSERT INTO `tbl_' || (user_id % 5) || '` VALUES (' || user_id || ')' WHEN 'purchase' THEN '/* up */ replace into `tbl_' || (user_id % 5) || '`(id) VALUES (' || user_id || ')' WHEN 'click' THEN 'UPDATE `tbl_' || (user_id % 5) || '` SET a = 1 WHERE id = ' || user_id WHEN 'error' THEN 'DELETE FROM `tbl_' || (user_id % 5) || '` WHERE id = ' || user_id ELSE 'SELECT ' || user_id END AS sql FROM events",
     "statements": f"SELECT CAST(n AS BIGINT) AS n, sql FROM (VALUES {_text}) AS v(n, sql)",
 }

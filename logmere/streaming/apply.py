@@ -40,28 +40,45 @@ def progress(log: DataFrame) -> DataFrame:
     return log.groupBy("tbl").agg(F.max("lsn").alias("last_lsn"), F.count(F.lit(1)).alias("entries"))
 
 
+def after_beat(status: str, lag: int) -> str:
+    return "ACTIVE" if status in ("JOINING", "OFFLINE") or status == "SYNCING" and lag == 0 else "SYNCING" if status == "LAGGING" else status
+
+
+def after_silence(status: str) -> str:
+    """What silence makes of a node; a status that is neither ACTIVE, LAGGING nor DROPPED stays."""
+    return {"ACTIVE": "LAGGING", "LAGGING": "DROPPED", "DROPPED": "REMOVED"}.get(status, status)
+
+
 HEARTBEAT = "node string, status string, last_lsn long, beats long"
 
 
 def heartbeats(beats: DataFrame, silence_ms: int = 30_000) -> DataFrame:
-    """Status of each node after each batch of beats (node, lsn): a first beat makes it ACTIVE, silence LAGGING.
+    """Status of each node after each batch of beats (node, lsn, and lag if there is such a column).
 
-    The state is three values per node; beats of lsn 0 only touch it.
+    A beat makes a new node ACTIVE, a LAGGING one SYNCING, and a SYNCING one without lag ACTIVE; it does not bring a DROPPED
+    one back. Silence makes it LAGGING, then DROPPED; the next silence ends its state. The state is three values per node;
+    beats of lsn 0 only touch it.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             status, lsn, n = state.get
-            nxt = "DROPPED" if status == "LAGGING" else "LAGGING"
-            state.update((nxt, lsn, n))
+            nxt = after_silence(status)
+            if nxt == "REMOVED":
+                state.remove()
+            else:
+                state.update((nxt, lsn, n))
+                state.setTimeoutDuration(silence_ms)
             yield pd.DataFrame({"node": [key[0]], "status": [nxt], "last_lsn": [lsn], "beats": [n]})
             return
         status, lsn, n = state.get if state.exists else ("JOINING", 0, 0)
+        lag = 0
         for b in batches:
             n += len(b)
+            lag = int(b["lag"].iloc[-1]) if "lag" in b and len(b) else lag
             known = b["lsn"][b["lsn"] > 0]
             lsn = int(known.max()) if len(known) and known.max() > lsn else lsn
-        status = {"LAGGING": "SYNCING"}.get(status, "ACTIVE")
+        status = after_beat(status, lag)
         state.update((status, lsn, n))
         state.setTimeoutDuration(silence_ms)
         yield pd.DataFrame({"node": [key[0]], "status": [status], "last_lsn": [lsn], "beats": [n]})

@@ -121,3 +121,14 @@ def test_heartbeats(spark):
     beats = spark.readStream.schema("node string, lsn long").parquet(f"{top}/beats")
     apply.heartbeats(beats).writeStream.foreachBatch(lambda b, _: out.extend(b.collect())).outputMode("update").option("checkpointLocation", f"{top}/state").trigger(once=True).start().awaitTermination()
     assert sorted(x[:] for x in out) == [("a", "ACTIVE", 5, 2), ("b", "ACTIVE", 0, 1)]
+
+
+def test_heartbeat_rules():
+    """A silent node lags, is dropped and then removed; a beat does not bring a dropped one back, lag keeps one syncing."""
+    steps, status = [], "ACTIVE"
+    for _ in range(3):
+        status = apply.after_silence(status)
+        steps.append(status)
+    assert steps == ["LAGGING", "DROPPED", "REMOVED"] and apply.after_silence("SYNCING") == "SYNCING"
+    assert [apply.after_beat(s, 0) for s in ("JOINING", "OFFLINE", "LAGGING", "SYNCING", "DROPPED", "ACTIVE")] == ["ACTIVE", "ACTIVE", "SYNCING", "ACTIVE", "DROPPED", "ACTIVE"]
+    assert apply.after_beat("SYNCING", 5) == "SYNCING"
