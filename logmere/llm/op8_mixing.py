@@ -128,7 +128,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -
         words, model = vocabulary(), shared.value.astype(np.float64)
         bias, scale = model[-1, :-1], model[:-1, -1:]
         table = np.concatenate([model[:-1, :-1] * scale, scale**2], 1)
-        for b in chunks(batches, "__text"):
+        for b in chunks(batches, "__text", 4 << 20):
             n, size, flat = features(b.column("__text").to_pylist(), words)
             p = posterior(size, flat, table, bias)
             yield pa.RecordBatch.from_arrays([b.column("__rest"), pa.array(n), pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * len(DOMAINS), p.reshape(-1))], names=["__rest", "__n_words", "__p"])
