@@ -96,6 +96,7 @@ def records_of(content: bytes) -> Iterator[dict]:
 
 
 def parse_record(raw: bytes) -> dict:
+    """A record's fields; ids of other archives (uuids, say) give no page_id, and digests that are not SHA-256 in hex are not compared."""
     head, _, rest = raw.partition(END)
     first, *lines = head.decode().split("\r\n")
     fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
@@ -107,11 +108,12 @@ def parse_record(raw: bytes) -> dict:
     if len(rest) != size + len(END) or not rest.endswith(END):
         raise ValueError("the block's length is not Content-Length")
     http, _, payload = rest[:size].partition(END)
-    told = int(re.search(rb"(?im)^content-length: *(\d+)", http)[1])
+    length = re.search(rb"(?im)^content-length: *(\d+)", http)
+    told = int(length[1]) if length else len(payload)
     digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
-    if fields["warc-type"] == "response" and (len(payload) != told or hashlib.sha256(payload).hexdigest() != digest):
+    if fields["warc-type"] == "response" and (len(payload) != told or re.fullmatch("[0-9a-f]{64}", digest) and hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError("the payload's length or digest is wrong")
-    ident = lambda v: None if v is None or v == "<urn:page:null>" else int(v.removeprefix("<urn:page:").removesuffix(">"))
+    ident = lambda v: int(m[1]) if v and (m := re.fullmatch(r"<urn:page:(-?\d+)>", v)) else None
     return {"page_id": ident(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload": payload, "payload_bytes": told, "payload_digest": digest, "record_type": fields["warc-type"], "refers_to": ident(fields.get("warc-refers-to"))}
 
 
