@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import chunks, tidy
+from ._common import bounded, chunks, tidy, written
 
 # Element identifiers of the Matroska container.
 EBML, EBML_VERSION, EBML_READ, EBML_ID_LENGTH, EBML_SIZE_LENGTH, DOC_TYPE, DOC_VERSION, DOC_READ = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
@@ -259,13 +259,17 @@ def packet_table(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Reads the stored bytes back: payload size, digest and tail checksum, the file's size and digest, and a feature string."""
+    """Reads the stored bytes back: payload size, digest and tail checksum, the file's size and digest, and a feature string. A null media value gives nulls."""
     kind = media.schema[id_col].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for raw in b.column("media").to_pylist():
+            for value in b.column("media"):  # one file at a time as bytes
+                raw = value.as_py()
+                if raw is None:
+                    out.append((None,) * 6)
+                    continue
                 parsed = parse_matroska(raw)
                 payload = payload_of(raw, parsed["packets"])
                 x = np.frombuffer(payload, np.uint8)
@@ -278,4 +282,4 @@ def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return features(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return features(written(store_media(bounded(spark).read.parquet(f"{sf_dir}/documents.parquet")), "media"))

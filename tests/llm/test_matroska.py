@@ -1,11 +1,16 @@
 """Small Matroska files: clusters of unknown size, and the times of laced frames."""
 
+import hashlib
 import struct
+import zlib
 
 import pytest
 
 pytest.importorskip("logmere.llm")
+from compare import duck
+
 from logmere.llm import op10_matroska as M
+from logmere.llm.queries import QUERIES
 
 UNKNOWN = b"\x01" + b"\xff" * 7
 
@@ -53,3 +58,31 @@ def test_laced_times():
 def test_own_files_keep_their_times():
     raw = M.write_matroska(bytes(range(192)) * 20)
     assert [t for t, _ in times(raw)] == [24 * n for n in range(20)]
+
+
+def test_query_against_sql_and_digests(spark, sf):
+    pad = "greatest(192, (strlen(t) + 191) // 192 * 192)"
+    sql = f"SELECT doc_id, strlen(t), {pad}, sha256(t || repeat(' ', ({pad} - strlen(t))::BIGINT)), t FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
+    want = {r[0]: r[1:] for r in duck(sf).execute(sql).fetchall()}
+    got = QUERIES["op10_media_columns"](spark, sf).collect()
+    assert len(got) == len(want)
+    files = {}
+    for r in got:
+        size, padded, digest, text = want[r["doc_id"]]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (size, padded, digest)
+        payload = text.encode() + b" " * (padded - size)
+        assert r["tail_crc32"] == zlib.crc32(payload[-16:]) and r["media_bytes"] > padded
+        steps = sum(a != b for a, b in zip(payload, payload[1:], strict=False))
+        assert f"packets={padded // 192} " in r["feature"] and r["feature"].endswith(f"ms={padded // 8} sum={sum(payload)} peak={max(payload)} steps={steps}")
+        files.setdefault(text, (r["media_bytes"], r["media_sha256"], r["feature"]))
+        assert files[text] == (r["media_bytes"], r["media_sha256"], r["feature"])
+    some = M.write_matroska(M.padded(got[0]["feature"]))
+    assert hashlib.sha256(M.payload_of(some, M.parse_matroska(some)["packets"])).hexdigest() == hashlib.sha256(M.padded(got[0]["feature"])).hexdigest()
+
+
+def test_null_media(spark):
+    media = spark.createDataFrame([(1, 0, None), (None, 3, bytearray(M.write_matroska(M.padded("abc"))))], "doc_id long, n_bytes long, media binary")
+    rows = {r["doc_id"]: r for r in M.features(media).collect()}
+    assert rows[1]["media_sha256"] is None and rows[None]["payload_bytes"] == 192
+    assert M.packet_table(media).count() == 1
+    assert M.features(media.limit(0)).count() == 0
