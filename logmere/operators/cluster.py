@@ -97,3 +97,15 @@ def round_robin(requests: DataFrame, m: DataFrame, seq: str, most: int = MOST_LA
     size = fixed.agg(F.nullif(F.count(F.lit(1)), F.lit(0)).alias("__readers"))
     asked = requests.join(F.broadcast(size)).withColumn("__turn", F.pmod(F.col(seq), F.col("__readers")))  # one row
     return asked.join(turns, "__turn", "left").select(*requests.columns, "id")
+
+
+def fan_out(messages: DataFrame, m: DataFrame, own: str, is_data: Column, is_client: Column) -> DataFrame:
+    """Messages with their `targets`: data goes to members that store it, all else to clients too. One array holds a cluster's members."""
+    rest = m.where(F.col("id") != own)
+    names = rest.agg(F.array_sort(F.collect_list(F.when(~is_client, F.col("id")))).alias("__stores"), F.array_sort(F.collect_list("id")).alias("__all"))
+    return messages.join(F.broadcast(names)).select(*[messages[c] for c in messages.columns], F.when(is_data, F.col("__stores")).otherwise(F.col("__all")).alias("targets"))  # one row
+
+
+def running(processes: DataFrame, on: str, most: int = 10) -> DataFrame:
+    """The first processes that are not asleep; a null command is none."""
+    return processes.where("command <> 'Sleep'").orderBy(on).limit(most)

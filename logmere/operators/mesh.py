@@ -69,3 +69,22 @@ def stale_packets(packets: DataFrame, by: list[str], on: str, counter: str, widt
     p = ordered.running_max(packets, by, on, counter, "highest", width, before=True)
     restart = (F.col(counter) < RESTART) & (F.col("highest") > RESTART)
     return p.where((F.col("highest") - F.col(counter) > REORDER) & ~restart)
+
+
+def status_table(peers: DataFrame) -> DataFrame:
+    """One row per peer as shown to a user: '-' for no endpoint, the greatest long for never seen."""
+    return peers.select("peer_id", F.col("ip").alias("address"), F.coalesce("endpoint", F.lit("-")).alias("endpoint"), F.coalesce("last_seen_s", F.lit(2**63 - 1)).alias("last_seen_s"), F.col("rx").alias("rx_bytes"), F.col("tx").alias("tx_bytes"), "connected", "is_gateway")
+
+
+def dispatched(packets: DataFrame, peers: DataFrame, routes: DataFrame, own: str) -> DataFrame:
+    """What becomes of packets (dest) that arrive at `own`: deliver, broadcast, forward to a peer, route to a host that is
+    a peer, drop (the host cannot be reached) or local (an unknown destination; the kernel's routes decide)."""
+    near = own.rsplit(".", 1)[0] + ".255"
+    up = peers.where("connected").select("ip").distinct()
+    hop = packets.join(up.select(F.col("ip").alias("dest"), F.lit(True).alias("__peer")), "dest", "left").join(routes.groupBy("dest").agg(F.min("host").alias("__host")), "dest", "left").join(up.select(F.col("ip").alias("__host"), F.lit(True).alias("__up")), "__host", "left")
+    action = (
+        F.when((F.col("dest") == own), "deliver").when(F.col("dest").isin(near, "255.255.255.255"), "broadcast").when(F.col("__peer"), "forward")
+        .when(F.col("__host") == own, "deliver").when(F.col("__up"), "route").when(F.col("__host").isNotNull(), "drop").otherwise("local")
+    )
+    out = hop.withColumn("action", action)
+    return out.withColumn("hop", F.when(F.col("action") == "forward", F.col("dest")).when(F.col("action") == "route", F.col("__host"))).select(*packets.columns, "action", "hop")

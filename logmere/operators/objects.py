@@ -181,3 +181,15 @@ def message_batches(chunks: DataFrame, by: str, on: str, size: int, width: int =
 def etag(hash_: Column, size: Column) -> Column:
     """Half of the first chunk's hash; an empty object has the MD5 of nothing."""
     return F.when(size == 0, F.md5(F.lit(b""))).otherwise(F.left(hash_, F.lit(32)))
+
+
+def looked_up(paths: DataFrame, index: DataFrame) -> DataFrame:
+    """Asked paths with whether they exist and their size; unknown and null ones have none."""
+    found = index.where("path IS NOT NULL").select("path", "size", F.lit(True).alias("__found"))
+    return paths.join(found, "path", "left").withColumn("found", F.coalesce("__found", F.lit(False))).drop("__found")
+
+
+def created(index: DataFrame, paths: DataFrame, directories: bool = False) -> DataFrame:
+    """The index with empty entries for paths that it lacks, each once; taken and null paths make none."""
+    new = paths.where("path IS NOT NULL").select("path").distinct().join(index, "path", "left_anti")
+    return index.select("path", "size", "is_dir").unionByName(new.select("path", F.lit(0).cast("long").alias("size"), F.lit(directories).alias("is_dir")))

@@ -70,6 +70,28 @@ def segment_files(s: SparkSession, d: str) -> DataFrame:
     return IO.read_log(s, path, 150, 749, 100)
 
 
+@query("S8_segment_list", "SELECT DISTINCT (lsn - 1) // 100 AS segment FROM wal", "wal")
+def segment_list(s: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_folder(s)}/listed"
+    IO.write_log(V.wal(s, d).select("lsn", "op"), path, 100)
+    return IO.list_segments(s, path).select(F.col("segment").cast("long").alias("segment"))
+
+
+@query("S21_status_file", "SELECT status, count(*) AS nodes, CAST(sum(lag) AS BIGINT) AS lag FROM members GROUP BY status", "members")
+def status_file(s: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_folder(s)}/status"
+    IO.write_status(M.by_status(V.members(s, d)), path)
+    return IO.read_status(s, path, "status string, nodes long, lag long")
+
+
+on_log("S17_processes", "SELECT lsn, tbl FROM wal WHERE op <> 'noop' ORDER BY lsn LIMIT 10", lambda w: M.running(w.select("lsn", "tbl", F.when(F.col("op") == "noop", "Sleep").otherwise(F.col("op")).alias("command")), "lsn").select("lsn", "tbl"))
+query(
+    "R18_fan_out",
+    "WITH t AS (SELECT string_agg(id, ' ' ORDER BY id) AS everyone, string_agg(id, ' ' ORDER BY id) FILTER (NOT is_lb) AS stores FROM members WHERE id <> 'node-1') SELECT lsn, CASE WHEN op = 'insert' THEN stores ELSE everyone END AS targets FROM wal, t WHERE op <> 'noop'",
+    "wal",
+    "members",
+)(lambda s, d: M.fan_out(V.wal(s, d).where("op <> 'noop'").select("lsn", "op"), V.members(s, d), "node-1", F.col("op") == "insert", F.col("is_lb")).select("lsn", F.array_join("targets", " ").alias("targets")))
+
 # Aggregates of the log
 on_log("A5_watermark", "SELECT tbl, max(lsn) AS last_lsn FROM wal GROUP BY tbl", C.watermark)
 on_log("A6_node_progress", "SELECT origin_node, max(lsn) AS last_applied_lsn, max(ts) AS last_heartbeat FROM wal GROUP BY 1", C.node_progress)
@@ -180,7 +202,11 @@ on_members("R6_heartbeat", "SELECT id, CASE WHEN status IN ('JOINING', 'OFFLINE'
 on_members("U1_merged", "WITH f AS (SELECT 'node-' || (lag + 1) AS id, min(address) AS address FROM members GROUP BY 1) SELECT id, address, 'known' AS origin FROM members UNION ALL SELECT id, address, 'found' FROM f WHERE id NOT IN (SELECT id FROM members)", lambda m: M.merged(m, m.select(F.concat(F.lit("node-"), (F.col("lag") + 1).cast("string")).alias("id"), "address")))
 query("O7_round_robin", "WITH p AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM members WHERE status = 'ACTIVE' AND NOT is_lb AND (SELECT max(last_applied_lsn) FROM members) - last_applied_lsn <= 100000) SELECT o_orderkey AS seq, p.id FROM orders LEFT JOIN p ON p.k = o_orderkey % p.n", "members")(lambda s, d: M.round_robin(V.table(s, d, "orders").select(F.col("o_orderkey").alias("seq")), V.members(s, d), "seq", 100_000))
 
+on_members("K6_json", """SELECT '{"id":"' || id || '","lag":' || lag || CASE WHEN age_s IS NULL THEN '' ELSE ',"age_s":' || age_s END || '}' AS json FROM members""", lambda m: IO.as_json(m.select("id", "lag", "age_s")))
+
 # Objects
+query("B1_lookup", "WITH q AS (SELECT path FROM files WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT 'none/' || doc_id FROM labels) SELECT q.path, f.path IS NOT NULL AS found, f.size FROM q LEFT JOIN files f USING (path)", "files")(lambda s, d: V.files(s, d).transform(lambda f: O.looked_up(f.join(V.table(s, d, "labels"), "doc_id", "left_semi").select("path").unionByName(V.table(s, d, "labels").select(F.concat(F.lit("none/"), F.col("doc_id").cast("string")).alias("path"))), f)))
+on_files("B6_create", "SELECT path, size, false AS is_dir FROM files UNION ALL SELECT DISTINCT path || '.new', 0, true FROM files WHERE path IS NOT NULL AND doc_id % 2 = 1", lambda f: O.created(f.select("path", "size", F.lit(False).alias("is_dir")), f.select(F.when(F.col("doc_id") % 2 == 1, F.concat("path", F.lit(".new"))).otherwise(F.col("path")).alias("path")), directories=True))
 on_files("A8_totals", "SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files", lambda f: f.agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")))
 on_files("A9_buckets", "SELECT bucket, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes FROM files WHERE bucket IS NOT NULL GROUP BY bucket", O.buckets)
 on_files("A10_listing", "SELECT DISTINCT split_part(key, '/', 1) || '/' AS prefix, CAST(NULL AS VARCHAR) AS key FROM files WHERE bucket = 'en' AND starts_with(key, 'src1') AND contains(key, '/') UNION ALL SELECT NULL, key FROM files WHERE bucket = 'en' AND starts_with(key, 'src1') AND NOT contains(key, '/')", lambda f: O.listing(f, "en", "src1"))
@@ -215,6 +241,26 @@ on_peers("U4_exchange", "WITH k AS (SELECT 'h' || peer_id AS ip, public_key, con
 on_log("F34_replay_window", "WITH p AS (SELECT lsn, pk * 7 % 1000 AS counter, max(pk * 7 % 1000) OVER (PARTITION BY origin_node ORDER BY lsn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest FROM wal) SELECT lsn, counter FROM p WHERE highest - counter > 32 AND NOT (counter < 100 AND highest > 100)", lambda w: N.stale_packets(w.withColumn("counter", F.col("pk") * 7 % 1000), ["origin_node"], "lsn", "counter").select("lsn", "counter"))
 
 
+on_peers("N5_status", "SELECT peer_id, ip AS address, CASE WHEN connected THEN ip || ':9600' ELSE '-' END AS endpoint, CASE WHEN connected THEN peer_id % 60 ELSE 9223372036854775807 END AS last_seen_s, rx AS rx_bytes, tx AS tx_bytes, connected, is_gateway FROM peers", lambda p: N.status_table(p.withColumn("endpoint", F.when(F.col("connected"), F.concat("ip", F.lit(":9600")))).withColumn("last_seen_s", F.when(F.col("connected"), F.col("peer_id") % 60))))
+
+
+@query(
+    "N8_inbound",
+    """WITH k AS (SELECT o_orderkey AS seq, CASE o_orderkey % 5 WHEN 0 THEN '10.0.1.1' WHEN 1 THEN '10.0.1.255' WHEN 2 THEN '10.0.' || (o_custkey % 25) || '.' || (o_custkey % 250) WHEN 3 THEN 'net-' || (o_custkey % 40) ELSE '255.255.255.255' END AS dest FROM orders),
+u AS (SELECT DISTINCT ip FROM peers WHERE connected), r AS (SELECT 'net-' || n_nationkey AS dest, '10.0.' || n_nationkey || '.' || n_nationkey AS host FROM nation),
+a AS (SELECT seq, k.dest, host, CASE WHEN k.dest = '10.0.1.1' THEN 'deliver' WHEN k.dest IN ('10.0.1.255', '255.255.255.255') THEN 'broadcast' WHEN k.dest IN (SELECT ip FROM u) THEN 'forward' WHEN host IS NULL THEN 'local' WHEN host = '10.0.1.1' THEN 'deliver' WHEN host IN (SELECT ip FROM u) THEN 'route' ELSE 'drop' END AS action FROM k LEFT JOIN r ON r.dest = k.dest)
+SELECT seq, dest, action, CASE action WHEN 'forward' THEN dest WHEN 'route' THEN host END AS hop FROM a""",
+    "peers",
+)
+def inbound(s: SparkSession, d: str) -> DataFrame:
+    text = lambda e: F.expr(f"CAST({e} AS STRING)")
+    kind = F.col("o_orderkey") % 5
+    dest = F.when(kind == 0, "10.0.1.1").when(kind == 1, "10.0.1.255").when(kind == 2, F.concat(F.lit("10.0."), text("o_custkey % 25"), F.lit("."), text("o_custkey % 250"))).when(kind == 3, F.concat(F.lit("net-"), text("o_custkey % 40"))).otherwise("255.255.255.255")
+    k = text("n_nationkey")
+    routes = V.table(s, d, "nation").select(F.concat(F.lit("net-"), k).alias("dest"), F.concat(F.lit("10.0."), k, F.lit("."), k).alias("host"))
+    return N.dispatched(V.table(s, d, "orders").select(F.col("o_orderkey").alias("seq"), dest.alias("dest")), V.peers(s, d), routes, "10.0.1.1")
+
+
 def _hops(peers: DataFrame, nation: DataFrame) -> DataFrame:
     net = F.concat(F.lit("net-"), F.col("n_nationkey").cast("string"))
     routes = nation.select(net.alias("dest"), F.concat(F.lit("10.0."), F.col("n_nationkey").cast("string"), F.lit("."), F.col("n_nationkey").cast("string")).alias("host"))

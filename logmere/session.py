@@ -26,8 +26,12 @@ def local(name: str = "logmere", cores: str = "8", shuffle_partitions: int = 8,
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a machine-local one only where the session names none."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logmere-")
+    """A new folder that driver and executors share; where the session names none, a machine-local one in local mode only."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not (spark.sparkContext.master or "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="logmere-")
     return f"{top}/{uuid.uuid4().hex}"
 
 

@@ -58,3 +58,22 @@ def tables(spark: SparkSession) -> DataFrame:
     """(table_name, column_name, data_type, ordinal) of the catalog; its size is the catalog's."""
     rows = [(t.name, c.name, c.dataType, i) for t in spark.catalog.listTables() for i, c in enumerate(spark.catalog.listColumns(t.name))]
     return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, ordinal int")
+
+
+def list_segments(spark: SparkSession, path: str) -> DataFrame:
+    """Segments of a written log by number; only the partitions' names are needed."""
+    return spark.read.parquet(path).select("segment").distinct().orderBy("segment")
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """One JSON text a row; null fields stay out."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("json"))
+
+
+def write_status(status: DataFrame, path: str) -> None:
+    """A status file, as JSON lines; a status before it goes."""
+    status.write.mode("overwrite").json(path)
+
+
+def read_status(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
