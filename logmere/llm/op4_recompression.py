@@ -6,8 +6,8 @@ without a dictionary. Each symbol carries the stretch of words that decided it;
 holds the symbol, wherever it occurs. A window's witness is its first symbol of the highest level it decides.
 
 1. Witnesses (symbol, place, words of its stretch) that occur twice in the corpus mark possible repeats.
-2. Windows with such a witness are compared by two independent 64-bit hashes of their 20 words; in each equal
-   group all but the first (by document, then start) are removed.
+2. Windows with such a witness are compared by the symbols that spell them (`spelled`), under two independent
+   64-bit names; in each equal group all but the first (by document, then start) are removed.
 Exact copies of earlier documents are found by digest. Repeats inside a batch are settled there, so a passage
 that a third of all documents share travels once for a batch.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, bucket_keys, chunks, cut_by, ids_and_text, mix, opened, partitions, press, tidy, unpacked, windows_hash, with_rest
+from ._common import Words, bucket_keys, chunks, cut_by, ids_and_text, mix, opened, partitions, press, tidy, unpacked, with_rest
 from ._shared import MARK_NAMES, MARKS, blobs, gathered_marks, later_copies, packed_marks, shared_keys
 
 WINDOW = 20
@@ -30,31 +30,41 @@ RUN, PAIR, OTHER = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25),
 
 
 class Level:
-    """Symbols of all documents of a batch, in order; lo and hi bound the words that decide a symbol."""
+    """Symbols of all documents of a batch, in order; lo and hi bound the words that decide a symbol.
 
-    def __init__(self, name: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray):
-        self.name, self.doc, self.lo, self.hi = name, doc, lo, hi
+    names has one or two 64-bit names of each symbol, of which the first decides; begins is a symbol's first word, child
+    its first symbol on the level below.
+    """
+
+    def __init__(self, names: list[np.ndarray], doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, begins: np.ndarray, child: np.ndarray):
+        self.names, self.doc, self.lo, self.hi, self.begins, self.child = names, doc, lo, hi, begins, child
 
 
 def neighbours(level: Level, first: np.ndarray, last: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """lo of what stands before symbol `first`, hi of what follows `last`; beyond a document's end nothing decides."""
-    doc = level.doc[first]
-    prev, nxt = np.maximum(first - 1, 0), np.minimum(last + 1, len(level.name) - 1)
+    doc, n = level.doc[first], len(level.doc)
+    prev, nxt = np.maximum(first - 1, 0), np.minimum(last + 1, n - 1)
     lo = np.where((first > 0) & (level.doc[prev] == doc), level.lo[prev], begin[doc] - 1)
-    hi = np.where((last + 1 < len(level.name)) & (level.doc[nxt] == doc), level.hi[nxt], end[doc] + 1)
+    hi = np.where((last + 1 < n) & (level.doc[nxt] == doc), level.hi[nxt], end[doc] + 1)
     return lo, hi
 
 
-def compress(level: Level, turn: int, begin: np.ndarray, end: np.ndarray) -> Level:
-    """One round: name runs, then pairs."""
-    n = len(level.name)
-    first = np.flatnonzero(np.append(True, (level.name[1:] != level.name[:-1]) | (level.doc[1:] != level.doc[:-1])))
-    count = np.diff(np.append(first, n))
+def runs(level: Level, begin: np.ndarray, end: np.ndarray) -> Level:
+    """Name every run of equal symbols."""
+    name = level.names[0]
+    first = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (level.doc[1:] != level.doc[:-1])))
+    count = np.diff(np.append(first, len(name)))
     lo, hi = neighbours(level, first, first + count - 1, begin, end)
-    name = level.name[first]
-    name = np.where(count > 1, mix(name * RUN + count.astype(np.uint64)), name)
-    level = Level(name, level.doc[first], lo, hi)
-    n = len(name)
+    long = np.flatnonzero(count > 1)
+    names = [x[first] for x in level.names]
+    for x in names:
+        x[long] = mix(x[long] * RUN + count[long].astype(np.uint64))
+    return Level(names, level.doc[first], lo, hi, level.begins[first], first)
+
+
+def pairs(level: Level, turn: int, begin: np.ndarray, end: np.ndarray) -> Level:
+    """Name every pair of a symbol of class 0 and a following one of class 1."""
+    name, n = level.names[0], len(level.doc)
     kind = (mix(name ^ np.uint64(int(OTHER) * (turn + 1) % 2**64)) & np.uint64(1)).astype(bool)
     left = np.zeros(n, bool)
     left[:-1] = ~kind[:-1] & kind[1:] & (level.doc[1:] == level.doc[:-1])
@@ -62,40 +72,83 @@ def compress(level: Level, turn: int, begin: np.ndarray, end: np.ndarray) -> Lev
     before, after = neighbours(level, np.arange(n), np.arange(n), begin, end)
     lo, hi = np.where(kind & ~right, before, level.lo), np.where(~kind & ~left, after, level.hi)
     at = np.flatnonzero(left)
-    name = level.name.copy()
-    name[at] = mix(level.name[at] * PAIR + (level.name[at + 1] ^ OTHER))
     hi[at] = np.maximum(level.hi[at], level.hi[at + 1])
     lo[at] = np.minimum(level.lo[at], level.lo[at + 1])
-    keep = ~right
-    return Level(name[keep], level.doc[keep], lo[keep], hi[keep])
+    names = [x.copy() for x in level.names]
+    for x in names:
+        x[at] = mix(x[at] * PAIR + (x[at + 1] ^ OTHER))
+    keep = np.flatnonzero(~right)
+    return Level([x[keep] for x in names], level.doc[keep], lo[keep], hi[keep], level.begins[keep], level.child[keep])
 
 
-def witnesses(h: np.ndarray, size: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """h: word hashes of a batch; size: words of each document. For every window: document, start; the witness of each (an index) and the witnesses' keys."""
-    end = np.cumsum(size).astype(np.int32)  # places within a batch: small numbers, as there are many
+def parsed(names: list[np.ndarray], size: np.ndarray, rounds: int) -> list[Level]:
+    """The levels of a batch's words, from the words upwards. Places are numbers within the batch."""
+    end = np.cumsum(size).astype(np.int32)
     begin = (end - size).astype(np.int32)
+    place = np.arange(len(names[0]), dtype=np.int32)
+    levels = [Level(names, np.repeat(np.arange(len(size), dtype=np.int32), size), place, place + np.int32(1), place, place)]
+    for turn in range(rounds):
+        levels.append(pairs(runs(levels[-1], begin, end), turn, begin, end))
+    return levels
+
+
+def windows_of(size: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document and start of every window of a batch."""
+    begin = (np.cumsum(size) - size).astype(np.int32)
     many = np.maximum(size - window + 1, 0)
     doc = np.repeat(np.arange(len(size), dtype=np.int32), many)
-    start = np.arange(len(doc), dtype=np.int32) - np.repeat(np.cumsum(many) - many, many).astype(np.int32) + begin[doc]
-    if not len(doc):
-        return doc, start, doc, np.zeros(0, np.uint64)
-    levels = [Level(h, np.repeat(np.arange(len(size), dtype=np.int32), size), np.arange(len(h), dtype=np.int32), np.arange(1, len(h) + 1, dtype=np.int32))]
-    for turn in range(rounds):
-        levels.append(compress(levels[-1], turn, begin, end))
-    power = np.cumprod(np.full(len(h) + 1, int(PAIR), np.uint64))
-    back = np.cumprod(np.full(len(h) + 1, pow(int(PAIR), -1, 2**64), np.uint64))
+    return doc, np.arange(len(doc), dtype=np.int32) - np.repeat(np.cumsum(many) - many, many).astype(np.int32) + begin[doc]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base for n places, and their inverses."""
+    return np.cumprod(np.full(n + 1, int(PAIR), np.uint64)), np.cumprod(np.full(n + 1, pow(int(PAIR), -1, 2**64), np.uint64))
+
+
+def witnesses(levels: list[Level], start: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The witness (an index) of the window at each start, and the witnesses' keys."""
+    if not len(start):
+        return start, np.zeros(0, np.uint64)
+    h = levels[0].names[0]
+    power, back = _powers(len(h))
     sums = np.append(np.uint64(0), np.cumsum(h * power[: len(h)], dtype=np.uint64))
-    which, keys, open_, have = np.full(len(doc), -1), [], np.arange(len(doc)), 0
-    for depth in range(rounds, -1, -1):
-        x = levels[depth]
+    which, keys, open_, have = np.full(len(start), -1), [], np.arange(len(start)), 0
+    for x in reversed(levels):
         at = np.minimum(np.searchsorted(x.lo, start[open_]), len(x.lo) - 1)
         fits = (x.lo[at] >= start[open_]) & (x.hi[at] <= start[open_] + window)
         used, place = np.unique(at[fits], return_inverse=True)
         which[open_[fits]] = place + have
         lo, hi = x.lo[used], x.hi[used]
-        keys.append(mix((sums[hi] - sums[lo]) * back[lo] + (hi - lo).astype(np.uint64) * OTHER + x.name[used] * RUN))
+        keys.append(mix((sums[hi] - sums[lo]) * back[lo] + (hi - lo).astype(np.uint64) * OTHER + x.names[0][used] * RUN))
         open_, have = open_[~fits], have + len(used)
-    return doc, start, which, np.concatenate(keys)
+    return which, np.concatenate(keys)
+
+
+def spelled(levels: list[Level], start: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
+    """For each column of names, a hash of the symbols that spell the window at each start.
+
+    On every level the symbols that a window decides are a range [i, j), within the stretch of the level below. A
+    window is spelled by its highest symbols and, left and right of them, by those of lower levels that they leave
+    over. The spelling of equal windows is equal wherever they stand; unequal windows differ in it, as a name stands
+    for one string of words. A symbol counts at its first word's place, so the sum over a spelling is taken from
+    running sums: going up a level replaces the sum over the symbols that it joins.
+    """
+    stop = start + window
+    power, back = _powers(len(levels[0].doc))
+    ranges = []
+    for x in levels:
+        i, j = np.searchsorted(x.lo, start), np.searchsorted(x.hi, stop, "right")
+        ranges.append((np.minimum(i, j), j))
+    out = []
+    for column in range(len(levels[0].names)):
+        below, total = None, np.zeros(len(start), np.uint64)
+        for x, (i, j) in zip(levels, ranges, strict=True):
+            sums = np.append(np.uint64(0), np.cumsum(x.names[column] * power[x.begins], dtype=np.uint64))
+            gain = sums if below is None else sums - below[np.append(x.child, len(below) - 1)]
+            total += gain[j] - gain[i]
+            below = sums
+        out.append(mix(total * back[start]))
+    return out
 
 
 #: Windows of one bucket (without count), and marks that are settled already (without hashes).
@@ -135,7 +188,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def keys_of(column: pa.Array) -> list[np.ndarray]:
         words = keys_of.__dict__.setdefault("words", Words())
         h, size = hashed(column, words)
-        doc, _, which, keys = witnesses(h[:, 0], size, window, rounds)
+        doc, start = windows_of(size, window)
+        which, keys = witnesses(parsed([h[:, 0].copy()], size, rounds), start, window)
         owner = np.zeros(len(keys), np.int64)
         owner[which] = doc
         order = np.argsort(owner, kind="stable")
@@ -150,7 +204,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         words = Words()
         for b in chunks(batches, "__text"):
             h, size = hashed(b.column("__text"), words)
-            doc, start, which, keys = witnesses(h[:, 0], size, window, rounds)
+            doc, start = windows_of(size, window)
+            levels = parsed([h[:, 0].copy(), h[:, 1].copy()], size, rounds)
+            which, keys = witnesses(levels, start, window)
             owner = np.zeros(len(keys), np.int64)
             owner[which] = doc
             order = np.argsort(owner, kind="stable")
@@ -163,7 +219,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if not len(go):
                 continue
             begin = np.cumsum(size) - size
-            h1, h2 = (mix(windows_hash(h[:, c], window))[start[go]] for c in (0, 1))
+            h1, h2 = spelled(levels, start[go], window)
             ids, tags = b.column("__id").to_numpy(zero_copy_only=False)[doc[go]], b.column("__tag").to_numpy(zero_copy_only=False)[doc[go]]
             starts = start[go] - begin[doc[go]]
             order, gone = later(h1, h2, ids, starts, tags)
