@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -87,6 +87,25 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key that more than one in so many rows hold is joined by broadcast: fewer than so many such keys can exist.
+HOT = 1000
+
+
+def joined_by_key(rows: DataFrame, facts: DataFrame, key: str, spread: Column) -> DataFrame:
+    """rows left-joined with facts, which has one row for each key and in `n` how many rows hold it (no key: no facts).
+
+    Rows of keys that hold more than 1 / HOT of all rows meet their facts by broadcast, of fewer than HOT rows whatever
+    the input, and are dealt on by `spread` (of the key's type); so no task gets more than that share of the rows.
+    """
+    most = rows.count() // HOT
+    names = [c for c in facts.columns if c not in (key, "n")]
+    hot = facts.where(F.col("n") > most).select(key, F.struct(*names).alias("__hot"))
+    cold = facts.where(F.col("n") <= most).select(F.col(key).alias("__at"), F.struct(*names).alias("__cold"))
+    met = rows.join(F.broadcast(hot), key, "left").withColumn("__at", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(spread))
+    met = met.join(cold, "__at", "left").withColumn("__facts", F.coalesce("__hot", "__cold"))
+    return met.select(*rows.columns, *[F.col(f"__facts.{c}").alias(c) for c in names])
+
+
 def ids_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(__id, __text, __rest): a non-null long id, non-null text, and as one struct all other columns and whether the text is null."""
     return docs.select(

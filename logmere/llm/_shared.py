@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bucket_keys, chunks, cut_by, mix, opened, partitions, press, tidy
+from ._common import bucket_keys, chunks, cut_by, joined_by_key, mix, opened, partitions, press, tidy
 
 #: Keys travel as their upper 32 and next 16 bits; the bucket tells some more. A false match only costs a later exact test.
 PACKED = "bucket int, ids binary, ords binary, high binary, low binary"
@@ -153,5 +153,6 @@ def gathered_marks(marks: DataFrame) -> DataFrame:
 def later_copies(docs: DataFrame) -> DataFrame:
     """(__id, copy_of): documents with exactly the text of a document with a smaller id. Only ids and digests move."""
     digests = docs.select("__id", F.sha2(F.encode("__text", "utf-8"), 256).alias("__digest"))
-    firsts = digests.groupBy("__digest").agg(F.min("__id").alias("copy_of"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return digests.join(firsts, "__digest").where("__id > copy_of").groupBy("__id", "__digest").agg(F.min("copy_of").alias("copy_of"))
+    firsts = digests.groupBy("__digest").agg(F.min("__id").alias("copy_of"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = joined_by_key(digests, firsts, "__digest", F.col("__id").cast("string"))
+    return met.where("__id > copy_of").groupBy("__id", "__digest").agg(F.min("copy_of").alias("copy_of"))
