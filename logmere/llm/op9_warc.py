@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, tidy, written
+from ._common import chunks, joined_by_key, tidy, written
 
 # Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -127,8 +127,8 @@ def write_archives(pages: DataFrame, archive_bytes: int = 4 << 20) -> DataFrame:
     p = p.withColumns({"digest": F.sha2("html", 256), "size": F.octet_length("html").cast("long")})
     sample = [bytes(r[0]) for r in p.select(F.substring("html", 1, SAMPLE_CHARS)).limit(SAMPLE_PAGES).collect()]
     dictionary = fit_dictionary([s for s in sample if s])
-    firsts = p.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    typed = p.join(firsts, "digest", "left").withColumn("refers_to", F.expr("CASE WHEN original < page_id OR page_id IS NULL THEN original END")).select("page_id", "url", "html", "size", "digest", "refers_to")
+    firsts = p.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    typed = joined_by_key(p, firsts, "digest", F.col("page_id").cast("string")).withColumn("refers_to", F.expr("CASE WHEN original < page_id OR page_id IS NULL THEN original END")).select("page_id", "url", "html", "size", "digest", "refers_to")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
