@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, Words, bounded, chunks, mix, partitions, tidy, written
+from ._common import NULL_ID, Words, bounded, chunks, joined_by_key, mix, partitions, tidy, written
 from ._counts import CHUNK_KEYS, counted
 from ._graph import components, forest
 
@@ -360,13 +360,14 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
     near = near_sets(whole_sets(d, described, k, percent), percent)
     rooted = components(jaccard_links(near, percent))
     rows = described.where("chunk IS NULL").select("doc_id", "th", "sid", "n")
-    firsts = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
+    firsts = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times"))
     sid_of = near.select("uid", "sid")
     roots = rooted.join(sid_of.withColumnRenamed("uid", "node"), "node").select("sid", "root").join(sid_of.select(F.col("uid").alias("root"), F.col("sid").alias("name")), "root").select("sid", "name")
-    named = written(firsts.join(roots, "sid", "left").select("sid", "least", F.coalesce("name", "sid").alias("name")), "named")
-    least = named.groupBy("name").agg(F.min("least").alias("component_id"))
-    answer = written(named.select("sid", "name").join(written(least, "least"), "name"), "answers")
-    out = rows.where("n > 0").join(answer, "sid").select("doc_id", "th", "n", F.col("name").alias("root"), "component_id")
+    named = written(firsts.join(roots, "sid", "left").select("sid", "least", "times", F.coalesce("name", "sid").alias("name")), "named")
+    least = named.groupBy("name").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    answer = joined_by_key(named.select("sid", "times", "name"), written(least, "least"), "name", F.col("sid"))
+    answer = written(answer.select("sid", "name", "component_id", F.col("times").alias("n")), "answers")
+    out = joined_by_key(rows.where("n > 0"), answer, "sid", F.encode(F.col("doc_id").cast("string"), "utf-8")).select("doc_id", "th", "n", F.col("name").alias("root"), "component_id")
     return out.union(rows.where("n = 0").select("doc_id", "th", "n", F.lit(None).cast("binary"), "doc_id"))
 
 
@@ -387,8 +388,8 @@ def without_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     both, one stays. Rows with a null id stay. Wordless and null texts stay. All columns are kept, whatever their names.
     """
     rows = written(grouped(docs, id_col, text_col, k, percent).where("root IS NOT NULL AND doc_id IS NOT NULL"), "rows")
-    first = written(rows.where("doc_id = component_id").groupBy("root").agg(F.min("th").alias("first")), "firsts")
-    keys = rows.join(first, "root").groupBy("doc_id", "th").agg(F.max((F.col("doc_id") == F.col("component_id")) & (F.col("th") == F.col("first"))).alias("stays"), F.count(F.lit(1)).alias("times"))
+    first = written(rows.groupBy("root").agg(F.min(F.expr("CASE WHEN doc_id = component_id THEN th END")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    keys = joined_by_key(rows, first, "root", F.encode(F.col("doc_id").cast("string"), "utf-8")).groupBy("doc_id", "th").agg(F.max((F.col("doc_id") == F.col("component_id")) & (F.col("th") == F.col("first"))).alias("stays"), F.count(F.lit(1)).alias("times"))
     odd = written(keys.where("NOT stays OR times > 1"), "odd")
     key = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("th")]
     packed = docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
