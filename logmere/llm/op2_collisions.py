@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded, partitions, tidy, written
+from ._common import bounded, joined_by_key, partitions, tidy, written
 from ._graph import components, forest
 
 THRESHOLD = 0.95
@@ -174,9 +174,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     roots = components(found.select(F.col("uid").alias("u"), F.col("root").alias("v")))
     facts = nodes.select("name", "uid", "n", "least").join(roots.withColumnRenamed("node", "uid"), "uid", "left").join(counts, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     facts = written(facts, "facts")
-    least = written(facts.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    facts = written(facts.join(least, "root").select("name", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links")), "answers")
-    out = table.where("x IS NOT NULL").join(facts, "name").select("vec_id", "n_links", "component_id")
+    least = written(facts.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    facts = written(joined_by_key(facts, least, "root", F.col("uid")).select("name", "n", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links")), "answers")
+    out = joined_by_key(table.where("x IS NOT NULL"), facts, "name", F.encode(F.col("vec_id").cast("string"), "utf-8")).select("vec_id", "n_links", "component_id")
     out = out.union(table.where("x IS NULL").select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
