@@ -87,7 +87,7 @@ def parsed(names: list[np.ndarray], size: np.ndarray, rounds: int) -> list[Level
     begin = (end - size).astype(np.int32)
     place = np.arange(len(names[0]), dtype=np.int32)
     levels = [Level(names, np.repeat(np.arange(len(size), dtype=np.int32), size), place, place + np.int32(1), place, place)]
-    for turn in range(rounds):
+    for turn in range(rounds if len(place) else 0):
         levels.append(pairs(runs(levels[-1], begin, end), turn, begin, end))
     return levels
 

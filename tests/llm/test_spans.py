@@ -105,3 +105,9 @@ def test_substring_dedup(spark, seed):
     got = [(x["doc_id"], x["__n_words"], x["__n_removed"], hashlib.sha256(x["__kept"].encode()).hexdigest()) for x in substring_dedup(df).collect()]
     assert sorted(got, key=str) == brute4(rows)
     assert substring_dedup(df.limit(0)).count() == 0
+
+
+def test_windows_without_words(spark):
+    rows = [(1, None), (2, ""), (3, " \n")]
+    out = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert sorted((r["doc_id"], r["__kept"], r["__n_words"], r["__n_removed"]) for r in out.collect()) == [(1, "", 0, 0), (2, "", 0, 0), (3, "", 0, 0)]
