@@ -1,7 +1,8 @@
 """Readers and writers: change logs, file indexes, status and route files, listings.
 
 Everything goes through Spark's readers, so any store that Spark knows will do. Logs are written in segments of a
-fixed number of positions, as partitions, so that a range scan reads only the segments that it needs.
+fixed number of positions, in order, and partitioned by ranges of positions, so that a range scan reads only the
+partitions, and by the files' bounds only the parts of them, that it needs.
 """
 
 from __future__ import annotations
@@ -12,22 +13,29 @@ from pyspark.sql import functions as F
 LOG = "lsn long, term long, ts timestamp, origin_node string, tbl string, pk long, op string, value double, props string"
 INDEX = "path string, size long, is_dir boolean, permissions int, uid int, gid int, created timestamp, modified timestamp, accessed timestamp, chunks array<struct<hash:string,offset:bigint,size:bigint>>, symlink_target string"
 INDEX_VERSION = 1
+#: Positions that share a partition, where segments are shorter.
+SHARED = 1 << 20
+
+
+def _positions(segment: int) -> int:
+    """Positions of a partition: whole segments, one at least."""
+    return max(1, SHARED // segment) * segment
 
 
 def write_log(log: DataFrame, path: str, segment: int = 1 << 20, mode: str = "append") -> None:
-    """One partition per segment of `segment` positions."""
-    s = log.withColumn("segment", F.floor((F.col("lsn") - 1) / segment).cast("long"))
-    s.repartitionByRange(F.col("lsn")).sortWithinPartitions("lsn").write.mode(mode).partitionBy("segment").parquet(path)
+    """Segments of `segment` positions, numbered by a column; short ones share a partition, so files grow with the entries and not with the segments."""
+    s = log.withColumn("segment", F.floor((F.col("lsn") - 1) / segment).cast("long")).withColumn("range", F.floor((F.col("lsn") - 1) / _positions(segment)).cast("long"))
+    s.repartitionByRange(F.col("lsn")).sortWithinPartitions("range", "lsn").write.mode(mode).partitionBy("range").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str, first: int | None = None, last: int | None = None, segment: int = 1 << 20) -> DataFrame:
-    """The log, or a range of it; the bounds also prune segments."""
+    """The log, or a range of it; the bounds also prune partitions."""
     log = spark.read.parquet(path)
     if first is not None:
-        log = log.where((F.col("segment") >= (first - 1) // segment) & (F.col("lsn") >= first))
+        log = log.where((F.col("range") >= (first - 1) // _positions(segment)) & (F.col("lsn") >= first))
     if last is not None:
-        log = log.where((F.col("segment") <= (last - 1) // segment) & (F.col("lsn") <= last))
-    return log.drop("segment")
+        log = log.where((F.col("range") <= (last - 1) // _positions(segment)) & (F.col("lsn") <= last))
+    return log.drop("segment", "range")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -61,7 +69,7 @@ def tables(spark: SparkSession) -> DataFrame:
 
 
 def list_segments(spark: SparkSession, path: str) -> DataFrame:
-    """Segments of a written log by number; only the partitions' names are needed."""
+    """Segments of a written log by number; only this column is read."""
     return spark.read.parquet(path).select("segment").distinct().orderBy("segment")
 
 

@@ -2,6 +2,7 @@
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +98,13 @@ def test_chunks_round_trip(spark):
     assert objects.store(c, c.select("hash").limit(0)).count() == c.select("hash").distinct().count()
 
 
+def test_short_segments_share_files(spark):
+    log = spark.range(1, 1001).select(F.col("id").alias("lsn"), F.lit("x").alias("op"))
+    files.write_log(log, one := shared_folder(spark), 10)
+    assert len({p.parent for p in Path(one).rglob("*.parquet")}) == 1
+    assert [r[0] for r in files.list_segments(spark, one).collect()] == list(range(100))
+
+
 def test_files_and_streams(spark):
     top = shared_folder(spark)
     log = spark.range(1, 1001).select(F.col("id").alias("lsn"), F.concat(F.lit("t"), (F.col("id") % 3).cast("string")).alias("tbl"))
