@@ -105,6 +105,18 @@ def test_short_segments_share_files(spark):
     assert [r[0] for r in files.list_segments(spark, one).collect()] == list(range(100))
 
 
+def test_ranges_across_shared_partitions(spark, monkeypatch):
+    log = spark.range(1, 1001).select(F.col("id").alias("lsn"), F.lit("x").alias("op"))
+    monkeypatch.setattr(files, "SHARED", 450)  # partitions of four segments
+    files.write_log(log, several := shared_folder(spark), 100)
+    assert len({p.parent for p in Path(several).rglob("*.parquet")}) == 3
+    assert files.list_segments(spark, several).count() == 10
+    for first, last in ((399, 402), (400, 400), (401, 800), (None, 5), (996, None)):
+        want = list(range(first or 1, (last or 1000) + 1))
+        assert sorted(r["lsn"] for r in files.read_log(spark, several, first, last, 100).collect()) == want
+    assert files.read_log(spark, several).columns == ["lsn", "op"]
+
+
 def test_files_and_streams(spark):
     top = shared_folder(spark)
     log = spark.range(1, 1001).select(F.col("id").alias("lsn"), F.concat(F.lit("t"), (F.col("id") % 3).cast("string")).alias("tbl"))
