@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,11 +101,18 @@ def round_robin(requests: DataFrame, m: DataFrame, seq: str, most: int = MOST_LA
     return asked.join(turns, "__turn", "left").select(*requests.columns, "id")
 
 
-def fan_out(messages: DataFrame, m: DataFrame, own: str, is_data: Column, is_client: Column) -> DataFrame:
-    """Messages with their `targets`: data goes to members that store it, all else to clients too. One array holds a cluster's members."""
-    rest = m.where(F.col("id") != own)
-    names = rest.agg(F.array_sort(F.collect_list(F.when(~is_client, F.col("id")))).alias("__stores"), F.array_sort(F.collect_list("id")).alias("__all"))
-    return messages.join(F.broadcast(names)).select(*[messages[c] for c in messages.columns], F.when(is_data, F.col("__stores")).otherwise(F.col("__all")).alias("targets"))  # one row
+def fan_out(messages: DataFrame, m: DataFrame, own: str, is_data: Column, is_client: Column, shown: Callable[[Column], Column] = lambda ids: ids) -> DataFrame:
+    """Messages with their `targets`, the array of ids as `shown` once: data goes to members that store it, all else to clients too.
+
+    One row holds a cluster's members. Data and all else come in partitions of their own, each with one value of `targets`,
+    which a columnar file writes once while its dictionary takes it (Spark joins partitions of messages that lie dealt by key or all in one).
+    """
+    rest, data = m.where(F.col("id") != own), F.coalesce(is_data, F.lit(False))
+
+    def sent(part: DataFrame, to: DataFrame) -> DataFrame:
+        return part.join(F.broadcast(to.agg(shown(F.array_sort(F.collect_list("id"))).alias("targets"))))  # one row
+
+    return sent(messages.where(data), rest.where(~is_client)).unionByName(sent(messages.where(~data), rest))
 
 
 def running(processes: DataFrame, on: str, most: int = 10) -> DataFrame:

@@ -90,7 +90,7 @@ query(
     "WITH t AS (SELECT string_agg(id, ' ' ORDER BY id) AS everyone, string_agg(id, ' ' ORDER BY id) FILTER (NOT is_lb) AS stores FROM members WHERE id <> 'node-1') SELECT lsn, CASE WHEN op = 'insert' THEN stores ELSE everyone END AS targets FROM wal, t WHERE op <> 'noop'",
     "wal",
     "members",
-)(lambda s, d: M.fan_out(V.wal(s, d).where("op <> 'noop'").select("lsn", "op"), V.members(s, d), "node-1", F.col("op") == "insert", F.col("is_lb")).select("lsn", F.array_join("targets", " ").alias("targets")))
+)(lambda s, d: M.fan_out(V.wal(s, d).where("op <> 'noop'").select("lsn", "op"), V.members(s, d), "node-1", F.col("op") == "insert", F.col("is_lb"), lambda ids: F.when(F.size(ids) > 0, F.array_join(ids, " "))).select("lsn", "targets"))
 
 # Aggregates of the log
 on_log("A5_watermark", "SELECT tbl, max(lsn) AS last_lsn FROM wal GROUP BY tbl", C.watermark)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logmere.functions import scalars, statements
 from logmere.operators import changelog, cluster, objects, ordered
-from logmere.session import shared_folder
+from logmere.session import shared_folder, written
 from logmere.sources import files
 from logmere.streaming import apply
 
@@ -98,6 +98,16 @@ def test_chunks_round_trip(spark):
     assert objects.store(c, c.select("hash").limit(0)).count() == c.select("hash").distinct().count()
 
 
+def test_fan_out_is_written_compactly(spark):
+    members = spark.range(60000).select(F.format_string("node-%08d", "id").alias("id"), (F.col("id") % 5 == 0).alias("is_lb"))
+    messages = spark.range(0, 300, 1, 1).select(F.col("id").alias("lsn"), F.expr("CASE id % 3 WHEN 0 THEN 'insert' WHEN 1 THEN 'update' END").alias("op"))
+    out = cluster.fan_out(written(messages), members, "node-00000000", F.col("op") == "insert", F.col("is_lb"), lambda ids: F.array_join(ids, " "))
+    out.write.parquet(path := shared_folder(spark))
+    assert sum(p.stat().st_size for p in Path(path).rglob("*.parquet")) < 5e6  # 300 lists of 0.8 MB
+    got = spark.read.parquet(path).groupBy("op").agg(F.count("lsn"), F.min(F.length("targets")), F.max(F.length("targets"))).collect()
+    assert {r[0]: r[1:] for r in got} == {"insert": (100, 48000 * 14 - 1, 48000 * 14 - 1), "update": (100, 59999 * 14 - 1, 59999 * 14 - 1), None: (100, 59999 * 14 - 1, 59999 * 14 - 1)}
+
+
 def test_short_segments_share_files(spark):
     log = spark.range(1, 1001).select(F.col("id").alias("lsn"), F.lit("x").alias("op"))
     files.write_log(log, one := shared_folder(spark), 10)
