@@ -9,6 +9,7 @@ pass over the table adds up the domains' expected words, and only that vector re
 from __future__ import annotations
 
 import warnings
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import KEPT, Words, beside, bounded, chunks, tidy, with_rest, written
+from ._common import KEPT, beside, bounded, chunks, tidy, with_rest, written
 
 DOMAINS = ("good", "plain", "toxic")
 #: Shares of the words; the total makes the first domain's own words its share.
@@ -27,30 +28,44 @@ BITS = 18
 #: The classifier is fitted on at most SAMPLE labelled documents, chosen by a hash of the id.
 SAMPLE, STEPS, L2 = 4000, 300, 1e-3
 ROUNDS, TOLERANCE = 30, 1e-4
+#: Words that a worker keeps.
+MOST = 1 << 18
 
 
 def domain(quality: str = "quality", toxic: str = "toxic") -> F.Column:
     return F.when(F.col(toxic) == 1, "toxic").when(F.col(quality) == 1, "good").when(F.col(quality) == 0, "plain")
 
 
+class Places(dict):
+    """The hashed place of each word that was met, without punctuation at its ends."""
+
+    def __missing__(self, w: bytes) -> int:
+        self[w] = place = (xxhash.xxh3_128_intdigest(w.strip(b".,;:!?()[]\"'|")) & 0xFFFFFFFFFFFFFFFF) >> 64 - BITS
+        return place
+
+
 @cache
-def vocabulary() -> Words:
-    """Lower-cased words without punctuation at their ends; this worker process's own, so later tasks find the words of earlier ones."""
-    return Words(lower=True, strip=b".,;:!?()[]\"'|")
+def vocabulary() -> Places:
+    """This worker process's own, so later tasks find the words of earlier ones."""
+    return Places()
 
 
 KEPT[__name__] = vocabulary.cache_clear
 
 
-def features(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The number of words of each text, its number of distinct hashed places, and these places one text after the other."""
-    lists = [words.split(t) for t in texts]
-    size = np.fromiter(map(len, lists), np.int64, len(lists))
-    h = words.hashes([w for x in lists for w in x])[:, 0]
-    place = np.repeat(np.arange(len(lists)), size) << BITS | (h >> np.uint64(64 - BITS)).astype(np.int64)
+def features(texts: list[str], places: Places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of lower-cased words of each text, its number of distinct hashed places, and these places one text after the other."""
+    if len(places) > MOST:
+        places.clear()
+    size, distinct, flat = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), array("q")
+    for i, t in enumerate(texts):  # a text's words are looked up at once, while they are in the processor's cache
+        size[i] = len(w := t.encode().lower().split())
+        distinct[i] = len(w := set(w))
+        flat.extend(map(places.__getitem__, w))
+    place = np.repeat(np.arange(len(texts)), distinct) << BITS | np.frombuffer(flat, np.int64)
     place.sort()
     place = place[np.append(True, place[1:] != place[:-1])] if len(place) else place
-    return size, np.bincount(place >> BITS, minlength=len(lists)), place & (1 << BITS) - 1
+    return size, np.bincount(place >> BITS, minlength=len(texts)), place & (1 << BITS) - 1
 
 
 def fit(sets: list[np.ndarray], labels: list[int], classes: int) -> np.ndarray:

@@ -49,3 +49,18 @@ def test_mixing_meets_targets(spark, sf):
     out = op8_mixing.mix_to_targets(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     got = out.agg(*[F.sum(F.col("__rate") * F.col("__n_words") * F.col("__p")[k]) for k in range(3)], F.min("__rate")).first()
     assert got[3] >= 0 and abs(got[1] / got[0] - 3 / 7) < 0.02 and got[2] / got[0] < 0.02
+
+
+def test_mixing_looks_a_word_up_once_a_text():
+    class Counted(op8_mixing.Places):
+        asked = 0
+
+        def __getitem__(self, w):
+            self.asked += 1
+            return super().__getitem__(w)
+
+    texts = ["The the cat, cat", "", "cat " * 50 + "the"]
+    size, distinct, flat = op8_mixing.features(texts, places := Counted())
+    the, cat = op8_mixing.Places()[b"the"], op8_mixing.Places()[b"cat"]
+    assert size.tolist() == [4, 0, 51] and distinct.tolist() == [2, 0, 2] and flat.tolist() == sorted((the, cat)) * 2
+    assert places.asked == 5  # the, cat, and cat with a comma; cat, the
