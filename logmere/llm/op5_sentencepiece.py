@@ -25,6 +25,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of the units kept by a worker, each unit counted as OVERHEAD more; longer units than LONG are not kept.
 CACHE, OVERHEAD, LONG = 32 << 20, 150, 1000
+#: Bytes of text encoded at once: all pieces are searched anew for each such part.
+AT_ONCE = 4 << 20
 
 
 def unit_pattern(pieces: list[str]) -> str:
@@ -233,7 +235,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model, shared)
-        for b in chunks(batches, "__text"):
+        for b in chunks(batches, "__text", AT_ONCE):
             yield pa.RecordBatch.from_arrays([b.column("__rest"), pa.array(e.encode(b.column("__text").to_pylist()), pa.binary())], names=["__rest", "__ids"])
 
     return table.mapInArrow(tidy(run), with_rest(table, "__ids binary")).select(*beside(docs.columns, ["__ids"]))
@@ -262,7 +264,7 @@ def report(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model, shared)
-        for b in chunks(batches, "__text"):
+        for b in chunks(batches, "__text", AT_ONCE):
             texts = b.column("__text").to_pylist()
             ids = e.encode(texts)
             back = e.decode(ids)
