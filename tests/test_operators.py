@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logmere.functions import scalars, statements
 from logmere.operators import changelog, cluster, objects, ordered
+from logmere.plans import registry
 from logmere.session import shared_folder, written
 from logmere.sources import files
 from logmere.streaming import apply
@@ -127,6 +128,13 @@ def test_ranges_across_shared_partitions(spark, monkeypatch):
     assert files.read_log(spark, several).columns == ["lsn", "op"]
 
 
+def test_segment_query_writes_few_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(registry, "shared_folder", lambda _: f"{tmp_path}/log")
+    got = registry.QUERIES["S6_segment_files"](spark, "/root/testdata/sf0.01")
+    assert sorted(r["lsn"] for r in got.collect()) == list(range(150, 750))
+    assert len(list(tmp_path.rglob("*.parquet"))) < 10  # of 100 segments
+
+
 def test_files_and_streams(spark):
     top = shared_folder(spark)
     log = spark.range(1, 1001).select(F.col("id").alias("lsn"), F.concat(F.lit("t"), (F.col("id") % 3).cast("string")).alias("tbl"))
