@@ -195,7 +195,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         order = np.argsort(owner, kind="stable")
         return np.split(keys[order], np.searchsorted(owner[order], np.arange(1, len(size))))
 
-    replies = shared_keys(table, keys_of, 2 << 20)
+    replies = shared_keys(table.select("__id", "__text"), keys_of, 2 << 20)
     copies = later_copies(table).groupBy("__id").agg(F.collect_set("__digest").alias("__copies"))
     asked = dealt.join(replies, "__id").join(copies, "__id", "left")
     is_copy = F.coalesce(F.array_contains("__copies", F.sha2(F.encode("__text", "utf-8"), 256)), F.lit(False))

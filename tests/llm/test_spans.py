@@ -111,3 +111,29 @@ def test_windows_without_words(spark):
     rows = [(1, None), (2, ""), (3, " \n")]
     out = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
     assert sorted((r["doc_id"], r["__kept"], r["__n_words"], r["__n_removed"]) for r in out.collect()) == [(1, "", 0, 0), (2, "", 0, 0), (3, "", 0, 0)]
+
+
+def test_suffix_dedup_shuffles_little(spark):
+    """Blobs of many buckets stay long; copies, and what repeats within a document, send no segments."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(2, 9)))
+    words = [word() for _ in range(3000)]
+    texts = [" ".join(r.choices(words, k=600)) for _ in range(1200)]
+    rows = [(i, t + "\n" + t[:1000]) for i, t in enumerate(texts)]
+    rows += [(i + 1200, t) for i, t in rows[:300]]
+    written = lambda: sum(e.totalShuffleWrite() for e in map(store.executorList(True).apply, range(store.executorList(True).size())))
+    sc = spark.sparkContext._jsc.sc()
+    store = sc.statusStore()
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+        sc.listenerBus().waitUntilEmpty(60_000)
+        before = written()
+        got = {x["doc_id"]: x["__n_removed"] for x in suffix_dedup(df).select("doc_id", "__n_removed").collect()}
+        sc.listenerBus().waitUntilEmpty(60_000)
+        sent = written() - before
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+    assert [got[i] for i, t in rows[1200:]] == [len(t) for _, t in rows[1200:]]
+    assert sent < 1.7 * sum(len(t) for _, t in rows), sent / sum(len(t) for _, t in rows)
