@@ -14,6 +14,8 @@ from .changelog import quorum
 
 #: A node may read when its lag is at most this; a dead node is removed after so many seconds.
 MOST_LAG, REMOVE_S = 100, 30
+#: Parquet's option for the statistics of written columns, or with # and a name of one.
+STATISTICS = "parquet.column.statistics.enabled"
 
 
 def active(m: DataFrame) -> DataFrame:
@@ -105,12 +107,18 @@ def fan_out(messages: DataFrame, m: DataFrame, own: str, is_data: Column, is_cli
     """Messages with their `targets`, the array of ids as `shown` once: data goes to members that store it, all else to clients too.
 
     One row holds a cluster's members. Data and all else come in partitions of their own, each with one value of `targets`,
-    which a columnar file writes once while its dictionary takes it (Spark joins partitions of messages that lie dealt by key or all in one).
+    which a columnar file writes once while its dictionary takes it. Messages are dealt out evenly, as the work is of messages
+    times members whatever the size of their files. Where the session says nothing of statistics of `targets`, Parquet keeps
+    none: it would compare each list with the smallest and the largest, byte by byte.
     """
     rest, data = m.where(F.col("id") != own), F.coalesce(is_data, F.lit(False))
+    conf = messages.sparkSession.conf
+    n = int(conf.get("spark.sql.shuffle.partitions"))
+    if conf.get(STATISTICS, None) is None and conf.get(f"{STATISTICS}#targets", None) is None:
+        conf.set(f"{STATISTICS}#targets", "false")
 
     def sent(part: DataFrame, to: DataFrame) -> DataFrame:
-        return part.join(F.broadcast(to.agg(shown(F.array_sort(F.collect_list("id"))).alias("targets"))))  # one row
+        return part.repartition(n).join(F.broadcast(to.agg(shown(F.array_sort(F.collect_list("id"))).alias("targets"))))  # one row
 
     return sent(messages.where(data), rest.where(~is_client)).unionByName(sent(messages.where(~data), rest))
 

@@ -4,6 +4,7 @@ import json
 import random
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,18 @@ def test_fan_out_is_written_compactly(spark):
     assert {r[0]: r[1:] for r in got} == {"insert": (100, 48000 * 14 - 1, 48000 * 14 - 1), "update": (100, 59999 * 14 - 1, 59999 * 14 - 1), None: (100, 59999 * 14 - 1, 59999 * 14 - 1)}
 
 
+def test_fan_out_is_dealt_evenly(spark):
+    """Messages of one partition are sent by many tasks, and a written list is not compared with the smallest and largest."""
+    members = spark.range(50).select(F.format_string("node-%02d", "id").alias("id"), (F.col("id") % 5 == 0).alias("is_lb"))
+    messages = spark.range(0, 4000, 1, 1).select(F.col("id").alias("lsn"), F.when(F.col("id") % 4 == 0, "insert").otherwise("update").alias("op"))
+    out = cluster.fan_out(messages, members, "node-00", F.col("op") == "insert", F.col("is_lb"), lambda ids: F.array_join(ids, " "))
+    out.write.parquet(path := shared_folder(spark))
+    found = [pq.ParquetFile(p).metadata for p in Path(path).rglob("*.parquet")]
+    assert sum(m.num_rows for m in found) == 4000 and max(m.num_rows for m in found) <= 1000
+    kept = {m.row_group(0).column(c).path_in_schema: m.row_group(0).column(c).is_stats_set for m in found if m.num_rows for c in range(3)}
+    assert kept == {"lsn": True, "op": True, "targets": False}
+
+
 def test_short_segments_share_files(spark):
     log = spark.range(1, 1001).select(F.col("id").alias("lsn"), F.lit("x").alias("op"))
     files.write_log(log, one := shared_folder(spark), 10)
